@@ -1,0 +1,6 @@
+"""Queries of the library's own operators and their SQL, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
