@@ -1,6 +1,327 @@
-"""Queries of the library's own operators and their SQL, by name."""
+"""Queries of the library's own operators over the given tables, and their SQL, by name."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hirelens.functions import normalize as N
+from hirelens.functions import vocabulary as V
+from hirelens.operators import embeddings as E
+from hirelens.operators import matching as M
+from hirelens.operators import records as R
+from hirelens.operators import snapshot as S
+from hirelens.sources.fixtures import JOBS_SQL, jobs, table
+from hirelens.streaming import jobs as stream
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+J = f"j AS ({JOBS_SQL})"
+#: The state holds what was posted before this date; the snapshot is taken then.
+SYNC = "1997-01-01"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def marked_sql(c: str, markers: dict, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({c}, {m!r})' for m in ms)} THEN '{v}'" for v, ms in markers.items()) + f" ELSE {otherwise} END"
+
+
+DOMAIN_SQL = lambda c: marked_sql(f"lower({c})", V.DOMAIN_MARKERS, "'unknown'")
+SENIORITY_SQL = lambda t, y: marked_sql(f"lower({t})", V.SENIORITY_MARKERS, f"CASE WHEN {y} <= 1 THEN 'junior' WHEN {y} >= 8 THEN 'senior' ELSE 'mid' END")
+
+LAST = f"""{J}, l AS (SELECT *, row_number() OVER (PARTITION BY source_id, external_job_id ORDER BY job_id DESC) AS rn,
+  min(job_id) OVER (PARTITION BY source_id, external_job_id) AS first_seq FROM j)"""
+
+
+@query(f"WITH {LAST} SELECT source_id, external_job_id, job_id, title, first_seq FROM l WHERE rn = 1")
+def o77_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir).select("source_id", "external_job_id", "job_id", "title", F.col("job_id").alias("seq"))
+    return S.last_wins(rows).select("source_id", "external_job_id", "job_id", "title", "first_seq")
+
+
+def _state(spark, sf_dir):
+    """(stored state, landed snapshot rows): posted before SYNC; all that is still open then, and later postings."""
+    j = jobs(spark, sf_dir)
+    old = S.last_wins(j.where(F.col("last_seen_at") < SYNC).withColumn("seq", F.col("job_id")))
+    old = old.select("source_id", "external_job_id", F.col("job_id").cast("string").alias("id"), "status", "last_seen_at", F.col("last_seen_at").alias("created_at"), F.col("last_seen_at").alias("updated_at"), "title")
+    landed = j.where(F.col("status") == "open").select("source_id", "external_job_id", "title", F.col("job_id").alias("seq"))
+    return old, landed
+
+
+def _reconciled(spark, sf_dir):
+    old, landed = _state(spark, sf_dir)
+    return landed, S.reconcile(old, S.last_wins(landed), F.lit(SYNC).cast("timestamp"), ["title"])
+
+
+RECONCILED = f"""{J},
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, external_job_id ORDER BY job_id DESC) AS rn FROM j WHERE last_seen_at < TIMESTAMP '{SYNC}') x WHERE rn = 1),
+  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, external_job_id ORDER BY job_id DESC) AS rn FROM j WHERE status = 'open') x WHERE rn = 1),
+  s AS (SELECT DISTINCT source_id FROM n),
+  r AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.external_job_id, n.external_job_id) AS external_job_id,
+    CASE WHEN n.job_id IS NOT NULL AND o.job_id IS NULL THEN 'insert' WHEN n.job_id IS NOT NULL THEN 'update'
+      WHEN o.status = 'open' AND coalesce(o.source_id, n.source_id) IN (SELECT source_id FROM s) THEN 'close' ELSE 'keep' END AS action,
+    o.status AS old_status, coalesce(n.title, o.title) AS title
+    FROM o FULL JOIN n ON o.source_id = n.source_id AND o.external_job_id = n.external_job_id)"""
+
+
+@query(f"WITH {RECONCILED} SELECT source_id, external_job_id, title, action, CASE action WHEN 'keep' THEN old_status WHEN 'close' THEN 'closed' ELSE 'open' END AS status FROM r")
+def o85_reconcile(spark, sf_dir):
+    return _reconciled(spark, sf_dir)[1].select("source_id", "external_job_id", "title", "action", "status")
+
+
+@query(f"""WITH {RECONCILED}, f AS (SELECT source_id, count(*) AS fetched, count(DISTINCT external_job_id) AS unique_rows FROM j WHERE status = 'open' GROUP BY 1)
+  SELECT f.source_id, fetched, unique_rows, fetched - unique_rows AS deduped, count(*) FILTER (WHERE action = 'insert') AS inserted,
+    count(*) FILTER (WHERE action = 'update') AS updated, count(*) FILTER (WHERE action = 'close') AS closed
+  FROM f JOIN r USING (source_id) GROUP BY 1, 2, 3""")
+def o70_snapshot_stats(spark, sf_dir):
+    return S.snapshot_stats(*_reconciled(spark, sf_dir))
+
+
+@query("SELECT user_id, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id FROM events GROUP BY 1")
+def o77b_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return S.latest(rows, "user_id", "at").select("user_id", "event_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 100")
+def o77c_keyset_page(spark, sf_dir):
+    return S.keyset_page(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 1000, 100)
+
+
+@query("""SELECT o_custkey, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders) x
+  JOIN (SELECT c_custkey, CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) % 10 AS total FROM customer) c ON o_custkey = c_custkey WHERE place <= total""")
+def o02_stitched_pages(spark, sf_dir):
+    totals = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.floor(F.greatest("c_acctbal", F.lit(0.0))) % 10).alias("total"))
+    return S.stitched_pages(table(spark, sf_dir, "orders").join(totals, "o_custkey"), "o_custkey", ["o_orderdate", "o_orderkey"], "total").select("o_custkey", "o_orderkey", "place")
+
+
+@query("""SELECT o_orderkey, n_lines, n_lines IS NULL AS detail_failed FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) d ON o_orderkey = l_orderkey""")
+def o03_merge_details(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return S.merge_details(table(spark, sf_dir, "orders").select("o_orderkey"), d, "o_orderkey", "flag")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1")
+def o09_offload(spark, sf_dir):
+    rows, store = R.offload(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "html")
+    return rows.join(store.select("sha256"), "sha256").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents")
+def o10_rehydrate(spark, sf_dir):
+    rows, store = R.offload(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "html")
+    return R.rehydrate(rows, store).select("doc_id", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n"))
+
+
+@query(f"WITH {J} SELECT job_id, {SENIORITY_SQL('title', 'jd_experience_years')} AS seniority, {DOMAIN_SQL('title')} AS domain FROM j")
+def o35_o39_domain_seniority(spark, sf_dir):
+    return jobs(spark, sf_dir).select("job_id", N.seniority(F.col("title"), F.col("jd_experience_years")).alias("seniority"), N.job_domain(F.col("title")).alias("domain"))
+
+
+_deny, _offer = (" OR ".join(f"contains(lower(description_plain), '{m}')" for m in ms) for ms in (V.SPONSORSHIP_DENIED, V.SPONSORSHIP_OFFERED))
+
+
+@query(f"WITH {J} SELECT job_id, CASE WHEN {_deny} THEN 'yes' WHEN {_offer} THEN 'no' ELSE 'unknown' END AS sponsorship FROM j")
+def o34_sponsorship(spark, sf_dir):
+    return jobs(spark, sf_dir).select("job_id", N.sponsorship(F.col("description_plain")).alias("sponsorship"))
+
+
+@query(f"WITH {J}, d AS (SELECT job_id, string_split(description_plain, chr(10))[3] AS line FROM j), g AS (SELECT job_id, {marked_sql('lower(line)', V.DEGREE_MARKERS, chr(39) + 'unknown' + chr(39))} AS level FROM d) SELECT job_id, level, CASE level WHEN 'none' THEN 0 WHEN 'associate' THEN 1 WHEN 'bachelor' THEN 2 WHEN 'master' THEN 3 WHEN 'doctorate' THEN 4 ELSE -1 END AS degree_rank FROM g")
+def o36_degree(spark, sf_dir):
+    level = N.degree_level(F.split("description_plain", "\n")[2])
+    return jobs(spark, sf_dir).select("job_id", level.alias("level"), N.degree_rank(level).alias("degree_rank"))
+
+
+@query(f"WITH {J} SELECT job_id, CAST(regexp_extract(description_plain, 'Needs ([0-9]+)', 1) AS INTEGER) AS years, string_split(description_plain, chr(10))[2] AS line FROM j")
+def o37_experience(spark, sf_dir):
+    found = N.experience(F.col("description_plain"))
+    return jobs(spark, sf_dir).select("job_id", found["years"].alias("years"), F.get(found["lines"], F.lit(0)).alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'intern') THEN 'intern' ELSE 'other' END AS employment, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS token,
+  trim(regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM part""")
+def o23_o29_o30_labels(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", N.employment_type(F.col("p_type")).alias("employment"), N.skill_token(F.col("p_type")).alias("token"), N.slug(F.col("p_brand")).alias("slug"))
+
+
+@query("""SELECT c_custkey, regexp_replace(lower(r_name || '-' || n_name || '-' || c_mktsegment), '[^a-z0-9]+', '-', 'g') AS key, c_mktsegment || ', ' || n_name || ', ' || r_name AS display
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def o30_location_key(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    all_ = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return all_.select("c_custkey", N.location_key(F.col("r_name"), F.col("n_name"), F.col("c_mktsegment")).alias("key"), N.display_name(F.col("c_mktsegment"), F.col("n_name"), F.col("r_name")).alias("display"))
+
+
+@query("SELECT o_orderkey, o_orderdate AS at, o_orderdate AS at_ms FROM orders")
+def o24_timestamps(spark, sf_dir):
+    at = F.unix_timestamp("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.flexible_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("at"), F.when(at > 100_000_000, N.flexible_timestamp(at * 1000)).otherwise(N.flexible_timestamp(at)).alias("at_ms"))
+
+
+@query(f"WITH {J} SELECT job_id, 'cfp:v1:' || sha256('{{\"description_plain\":\"' || trim(regexp_replace(description_plain, '\\s+', ' ', 'g')) || '\",\"title\":\"' || title || '\"}}') AS fingerprint FROM j")
+def o33_fingerprint(spark, sf_dir):
+    return jobs(spark, sf_dir).select("job_id", N.content_fingerprint(F.col("title"), F.col("description_plain")).alias("fingerprint"))
+
+
+def _marked(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.sha2("text", 256).alias("content_fingerprint"))
+    held = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("job_id"))
+    held = held.select("job_id", F.when(F.col("label") % 2 == 0, F.col("content_fingerprint")).otherwise("other").alias("content_fingerprint"))
+    return E.with_freshness(docs, held)
+
+
+FRESH = """m AS (SELECT doc_id AS job_id, sha256(text) AS fp, CASE WHEN vec_id IS NULL THEN 'missing' WHEN label % 2 = 0 THEN 'fresh' ELSE 'stale' END AS state FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
+
+
+@query(f"WITH {FRESH} SELECT job_id, fp AS content_fingerprint, state FROM m")
+def o59_freshness(spark, sf_dir):
+    return _marked(spark, sf_dir)
+
+
+@query(f"WITH {FRESH} SELECT count(*) FILTER (WHERE state = 'fresh') AS fresh, count(*) FILTER (WHERE state = 'stale') AS stale, count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE fp IS NULL) AS without_fingerprint FROM m")
+def o67_freshness_counts(spark, sf_dir):
+    return E.freshness_counts(_marked(spark, sf_dir))
+
+
+@query("SELECT vec_id, true AS valid FROM embeddings")
+def o89_valid_vectors(spark, sf_dir):
+    return E.valid_vectors(table(spark, sf_dir, "embeddings"), "embedding", 64).select("vec_id", "valid")
+
+
+@query("SELECT event_type AS route, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_duration, max(value) AS max_duration FROM events GROUP BY ROLLUP (event_type)")
+def o72_request_metrics(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"))
+    return R.request_metrics(log)
+
+
+@query("SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS tokens FROM events GROUP BY ROLLUP (event_type)")
+def o73_token_usage(spark, sf_dir):
+    usage = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.lit(1).alias("calls"), F.col("event_id").alias("tokens"))
+    return R.usage_totals(usage, "model", ["calls", "tokens"])
+
+
+@query(f"WITH {J} SELECT source_id, count(*) AS total, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'closed') AS closed FROM j GROUP BY 1")
+def o71_coverage(spark, sf_dir):
+    return R.coverage(jobs(spark, sf_dir), "source_id", "status", ["open", "closed"])
+
+
+@query(f"""WITH {J} SELECT 'duplicate_owner_pairs' AS "check", count(*) AS n FROM (SELECT source_id, external_job_id FROM j GROUP BY 1, 2 HAVING count(*) > 1) x
+  UNION ALL SELECT 'orphan_lines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'unmatched_owners', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'sponsorship_domain', count(*) FROM j WHERE sponsorship_not_available NOT IN ('yes', 'no')""")
+def o74_violations(spark, sf_dir):
+    j, orders = jobs(spark, sf_dir), table(spark, sf_dir, "orders")
+    return R.violations({
+        "duplicate_owner_pairs": R.duplicates(j, ["source_id", "external_job_id"]),
+        "orphan_lines": R.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", orders, "o_orderkey"),
+        "unmatched_owners": R.orphans(orders, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey"),
+        "sponsorship_domain": R.outside(j, "sponsorship_not_available", ["yes", "no"]),
+    })
+
+
+@query("SELECT n_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY -s_acctbal, s_suppkey) AS suppliers FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
+def o64_nested(spark, sf_dir):
+    made = R.nested(table(spark, sf_dir, "supplier"), "s_nationkey", ["-s_acctbal", "s_suppkey"], ["s_suppkey"], "s")
+    return made.select(F.col("s_nationkey").alias("n_nationkey"), F.array_join(F.transform("s", lambda x: x["s_suppkey"].cast("string")), ",").alias("suppliers"))
+
+
+@query("SELECT c_nationkey AS key, 'held' AS origin FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, 'new' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1")
+def o86_insert_absent(spark, sf_dir):
+    held = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.lit("held").alias("origin")).distinct()
+    return R.insert_absent(held, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.lit("new").alias("origin")), "key")
+
+
+@query("""SELECT p_partkey, p_name AS raw, uri, CASE WHEN uri IS NULL THEN 'unknown' ELSE 'mapped' END AS status FROM part LEFT JOIN (
+  SELECT alias, arg_min(uri, seq) AS uri FROM (
+    SELECT p_partkey AS seq, p_brand AS uri, trim(lower(p_type)) AS alias FROM part
+    UNION ALL SELECT p_partkey, p_brand, lower(p_name) FROM part WHERE p_size < 25) x GROUP BY 1) a ON lower(p_name) = a.alias""")
+def o65_align_skills(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    taxonomy = p.select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("uri"), F.col("p_type").alias("label"), F.when(F.col("p_size") < 25, F.col("p_name")).alias("alt_labels"))
+    return R.align_skills(p.select("p_partkey", F.col("p_name").alias("raw")), R.taxonomy_aliases(taxonomy)).select("p_partkey", "raw", "uri", "status")
+
+
+@query("""SELECT o_orderkey AS id, 'missing' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT DISTINCT l_orderkey, 'unexpected' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT l_orderkey, 'duplicate' FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
+def o84_reconcile_output(spark, sf_dir):
+    return R.reconcile_output(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
+
+
+@query(f"""WITH {J}, v AS (SELECT o_custkey, job_id AS ordinal, 3 AS weight, {DOMAIN_SQL('title')} AS domain FROM j
+    UNION ALL SELECT c_custkey, 0, 2, {DOMAIN_SQL('c_mktsegment')} FROM customer),
+  k AS (SELECT o_custkey, domain, sum(weight) AS w, min(ordinal) AS f FROM v WHERE domain <> 'unknown' GROUP BY 1, 2),
+  b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, f) AS rn FROM k)
+  SELECT DISTINCT v.o_custkey, coalesce(b.domain, 'unknown') AS domain FROM v LEFT JOIN b ON v.o_custkey = b.o_custkey AND rn = 1""")
+def o75_domain_vote(spark, sf_dir):
+    titles = jobs(spark, sf_dir).select("o_custkey", F.col("job_id").alias("ordinal"), F.lit(3).alias("weight"), N.job_domain(F.col("title")).alias("domain"))
+    summary = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(0).cast("long").alias("ordinal"), F.lit(2).alias("weight"), N.job_domain(F.col("c_mktsegment")).alias("domain"))
+    return M.domain_vote(titles.unionByName(summary), "o_custkey")
+
+
+def _recall(spark, sf_dir):
+    """The stated query set: vectors whose id is divisible by 50, against all."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
+    return M.top_k(e.where("job_id % 50 = 0").withColumnRenamed("job_id", "candidate_id"), e)
+
+
+def _pairs(spark, sf_dir):
+    c = F.col("candidate_id")
+    near = _recall(spark, sf_dir).join(jobs(spark, sf_dir).drop("o_custkey"), "job_id")
+    return near.withColumns({"needs_sponsorship": c % 3 == 0, "user_degree_rank": (c % 5 - 1).cast("int"), "user_years": (c % 15).cast("int")})
+
+
+TOPK = "k AS (SELECT * FROM (SELECT c.vec_id AS candidate_id, e.vec_id AS job_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS cosine_score, row_number() OVER (PARTITION BY c.vec_id ORDER BY round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS rank FROM embeddings c, embeddings e WHERE c.vec_id % 50 = 0) x WHERE rank <= 200)"
+PAIRS = f"{TOPK}, {J}, p AS (SELECT k.*, j.* EXCLUDE (job_id), candidate_id % 3 = 0 AS needs, candidate_id % 5 - 1 AS user_degree_rank, candidate_id % 15 AS user_years FROM k JOIN j USING (job_id))"
+
+
+@query(f"WITH {TOPK} SELECT candidate_id, job_id, cosine_score FROM k")
+def o68_vector_top_k(spark, sf_dir):
+    return _recall(spark, sf_dir).select("candidate_id", "job_id", "cosine_score")
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT candidate_id, needs AND sponsorship_not_available = 'yes' AS a, min_degree_rank >= 0 AND user_degree_rank >= 0 AND min_degree_rank > user_degree_rank AS b, jd_experience_years > user_years + 1 AS c FROM p)
+  SELECT candidate_id, count(*) AS input_count, count(*) FILTER (WHERE NOT (a OR b OR c)) AS passed_count, count(*) FILTER (WHERE a OR b OR c) AS rejected_count,
+    count(*) FILTER (WHERE a) AS rejected_sponsorship, count(*) FILTER (WHERE b) AS rejected_degree, count(*) FILTER (WHERE c) AS rejected_experience FROM m GROUP BY 1""")
+def o54_o66_hard_filter(spark, sf_dir):
+    return M.stage_summary(M.reject_reasons(_pairs(spark, sf_dir)), "candidate_id")
+
+
+_d = DOMAIN_SQL("title")
+_near = " OR ".join(f"(domain = '{a}' AND title_domain IN ({', '.join(repr(x) for x in b)})) OR (title_domain = '{a}' AND domain IN ({', '.join(repr(x) for x in b)}))" for a, b in V.DOMAIN_NEIGHBOURS.items())
+_rank = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.SENIORITY_RANK.items()) + " END"
+
+
+@query(f"""WITH {PAIRS}, f AS (SELECT *, 'data_ai' AS domain, {_d} AS title_domain, abs({_rank("'mid'")} - ({_rank(SENIORITY_SQL('title', 'jd_experience_years'))})) AS d,
+    greatest(0, jd_experience_years - user_years) AS gap, greatest(0, min_degree_rank - user_degree_rank) AS edu FROM p
+    WHERE NOT (needs AND sponsorship_not_available = 'yes') AND (min_degree_rank < 0 OR user_degree_rank < 0 OR min_degree_rank <= user_degree_rank)),
+  s AS (SELECT candidate_id, job_id, rank, round(0.7 * cosine_score + 0.15 * 0.0 + 0.1 * CASE WHEN title_domain = 'unknown' THEN 0.0 WHEN domain = title_domain THEN 1.0 WHEN {_near} THEN 0.5 ELSE 0.0 END
+    + 0.05 * CASE d WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END - least(0.12, gap * 0.04) - least(0.08, edu * 0.08), 4) AS final_score FROM f)
+  SELECT candidate_id, job_id, final_score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY final_score DESC, rank) AS place FROM s) x WHERE place <= 50""")
+def o96_match_pipeline(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    pairs = M.prefilter(_pairs(spark, sf_dir)).withColumns({"job_domain": N.job_domain(F.col("title")), "required_skills": none, "preferred_skills": none, "user_skills": none, "user_domain": F.lit("data_ai"), "user_seniority": F.lit("mid")})
+    return M.rerank(pairs, digits=4).select("candidate_id", "job_id", "final_score")
+
+
+@query("SELECT CAST(ts AS DATE)::TIMESTAMP AS window_start, event_type AS route, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS errors, max(value) AS max_duration FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM events) GROUP BY 1, 2")
+def o80_streaming_metrics(spark, sf_dir):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    at = f"{base}/metrics-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    log = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("route"), F.col("value").alias("duration"), (F.col("event_type") == "error").alias("failed"))
+    out = stream.windowed_metrics(log)
+    stream.run_once(out, f"{at}/out", f"{at}/log")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
