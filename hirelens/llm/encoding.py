@@ -7,6 +7,17 @@ from array import array
 
 import pyarrow.compute as pc
 
+#: Symbols that may follow a word in the short way of `_piece`.
+AFTER = ".,;:!?)"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level files write for each byte: itself if it is printable and no space, else
+    the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+
 #: A space before white space or at the end.
 ODD = re.compile(r" (?:\s|$)").search
 
@@ -21,12 +32,15 @@ class ChunkEncoder:
     stays with the part before it.
     """
 
-    def __init__(self, path: str, leading_space: bool, max_chunks: int = 800_000):
+    def __init__(self, path: str, leading_space: bool, max_chunks: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.prefix = " " if leading_space else ""
+        self.model = self.tokenizer.model
+        self.leading_space, self.prefix = leading_space, " " if leading_space else ""
+        self.characters = byte_characters()
+        self.space = self.characters[32] if leading_space else ""
         self.max_chunks, self.known = max_chunks, {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -36,8 +50,31 @@ class ChunkEncoder:
     def _learn(self, parts: list[str]) -> None:
         if len(self.known) > self.max_chunks:
             self.known.clear()
-        parts = list(dict.fromkeys(parts))
-        self.known.update(zip(parts, self._encode([self.prefix + p for p in parts]), strict=True))
+        other = []
+        for p in dict.fromkeys(parts):
+            ids = self._piece(p)
+            if ids is None:
+                other.append(p)
+            else:
+                self.known[p] = ids
+        if other:
+            self.known.update(zip(other, self._encode([self.prefix + p for p in other]), strict=True))
+
+    def _piece(self, part: str) -> bytes | None:
+        """The short way for a Latin word that some of AFTER may follow: it is one pre-token and these are
+        another, so the library's model can be asked straight away. Null if `part` is anything else."""
+        word = part.rstrip(AFTER)
+        if not word.isalpha() or max(word) > "\u024f":
+            return None
+        after = part[len(word) :]
+        if not self.leading_space:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.characters)
+        found = self.model.tokenize(self.space + word)
+        if after:
+            found += self.model.tokenize(after)
+        return array("I", [t.id for t in found]).tobytes()
 
     @staticmethod
     def parts(text: str) -> list[str]:

@@ -32,8 +32,11 @@ from hirelens.llm.shared import fresh_path, table
 
 MAGIC, BLOCK = b"PFR1", 512
 PERCENTILES = (90, 95, 98, 99, 100)
+NONE = np.zeros(0, np.int64)
 HEAD, TAIL = struct.Struct("<IHBH"), struct.Struct("<QQQQ")
 END_ID, FILE_BLOCKS = 2, 2048
+#: Widths whose packed bits are plain little-endian integers.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -52,23 +55,25 @@ def _pack_rows(rows: np.ndarray, out: list[bytes], first: int) -> None:
     n = rows.shape[1]
     low = rows.min(axis=1)
     offsets = rows - low[:, None]
-    ordered = np.sort(offsets, axis=1)
     at = [max(0, -(-n * p // 100) - 1) for p in PERCENTILES]
-    widths = _bit_length(ordered[:, at])
+    widths = _bit_length(np.partition(offsets, sorted(set(at)), axis=1)[:, at])
     past = n - 1 - np.array(at)
     cost = widths * n + past[None, :] * 48
     width = widths[np.arange(len(rows)), cost.argmin(axis=1)]
     for w in np.unique(width):
         picked = np.flatnonzero(width == w)
         some = offsets[picked]
-        wide = _bit_length(some) > w
-        kept = np.where(wide, 0, some)
-        bits = np.empty((len(picked), n, w), dtype=np.uint8)
-        for k in range(w):
-            bits[:, :, k] = kept >> np.uint32(k) & np.uint32(1)
-        packed = np.packbits(bits.reshape(len(picked), n * int(w)), axis=1, bitorder="little")
+        wide = some >> np.uint32(w) > 0 if w < 32 else np.zeros(some.shape, bool)
+        kept, any_wide = np.where(wide, np.uint32(0), some), wide.any(axis=1)
+        if int(w) in WHOLE:
+            packed = kept.astype(WHOLE[int(w)]).view(np.uint8)
+        else:
+            bits = np.empty((len(picked), n, w), dtype=np.uint8)
+            for k in range(w):
+                bits[:, :, k] = kept >> np.uint32(k) & np.uint32(1)
+            packed = np.packbits(bits.reshape(len(picked), n * int(w)), axis=1, bitorder="little")
         for j, i in enumerate(picked):
-            odd = np.flatnonzero(wide[j])
+            odd = np.flatnonzero(wide[j]) if any_wide[j] else NONE
             out[first + i] = (
                 HEAD.pack(int(low[i]), n, int(w), len(odd)) + packed[j].tobytes() + odd.astype("<u2").tobytes() + some[j, odd].astype("<u4").tobytes()
             )
@@ -85,9 +90,11 @@ def unpack(data: bytes) -> np.ndarray:
         low, n, w, odd = HEAD.unpack_from(data, at)
         at += HEAD.size
         size = -(-n * w // 8)
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * w].reshape(n, w)
-        ids = bits @ (1 << np.arange(w, dtype=np.uint32)) if w else np.zeros(n)
-        ids = ids.astype(np.uint32)
+        if w in WHOLE:
+            ids = np.frombuffer(data, WHOLE[w], n, at).astype(np.uint32)
+        else:
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * w].reshape(n, w)
+            ids = (bits @ (1 << np.arange(w, dtype=np.uint32)) if w else np.zeros(n)).astype(np.uint32)
         at += size
         ids[np.frombuffer(data, "<u2", odd, at)] = np.frombuffer(data, "<u4", odd, at + 2 * odd)
         at += 6 * odd
