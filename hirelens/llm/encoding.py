@@ -32,7 +32,7 @@ class ChunkEncoder:
     stays with the part before it.
     """
 
-    def __init__(self, path: str, leading_space: bool, max_chunks: int = 1_200_000):
+    def __init__(self, path: str, leading_space: bool, max_chunks: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,6 +42,7 @@ class ChunkEncoder:
         self.characters = byte_characters()
         self.space = self.characters[32] if leading_space else ""
         self.max_chunks, self.known = max_chunks, {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -50,6 +51,7 @@ class ChunkEncoder:
     def _learn(self, parts: list[str]) -> None:
         if len(self.known) > self.max_chunks:
             self.known.clear()
+            self.tails.clear()
         other = []
         for p in dict.fromkeys(parts):
             ids = self._piece(p)
@@ -67,13 +69,17 @@ class ChunkEncoder:
         if not word.isalpha() or max(word) > "\u024f":
             return None
         after = part[len(word) :]
+        if after:  # the word alone may be known; if not, it is learned too
+            if word not in self.known:
+                self.known[word] = self._piece(word)
+            if after not in self.tails:
+                self.tails[after] = array("I", [t.id for t in self.model.tokenize(after)]).tobytes()
+            return self.known[word] + self.tails[after]
         if not self.leading_space:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.characters)
         found = self.model.tokenize(self.space + word)
-        if after:
-            found += self.model.tokenize(after)
         return array("I", [t.id for t in found]).tobytes()
 
     @staticmethod

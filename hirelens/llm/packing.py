@@ -1,7 +1,7 @@
 """Vector bin packing of token sequences.
 
 A sequence has three limits at once: tokens, segments (pieces), and loss-bearing tokens. Each task packs the
-documents of its partition, some hundred at a time: whole sequences are cut off long documents first; then, bin by
+documents of its partition, some dozens at a time: whole sequences are cut off long documents first; then, bin by
 bin, the document with the largest dot product of its demand with the bin's free room is placed, both measured
 in shares of the limits. If none fits in whole, one is cut to fill the bin. What stays under-filled at the end of a
 task's rows is packed once more with that of other tasks, so few sequences in all need padding.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hirelens.llm.encoding import encoder, slices
 from hirelens.llm.shared import materialize, table
 
-END_ID, BUFFER, TASK_SEQUENCES = 1, 256, 256
+END_ID, BUFFER, TASK_SEQUENCES = 1, 64, 256
 
 
 @dataclass(frozen=True)
