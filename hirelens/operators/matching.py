@@ -95,3 +95,32 @@ def domain_vote(votes: DataFrame, by: str) -> DataFrame:
     known = votes.where(F.col("domain") != "unknown").groupBy(by, "domain").agg(F.sum("weight").alias("w"), F.min("ordinal").alias("first"))
     best = known.groupBy(by).agg(F.max_by("domain", F.struct("w", -F.col("first"))).alias("domain"))
     return votes.select(by).distinct().join(best, by, "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+
+
+#: What a label adds to a score.
+LABEL_ADJUSTMENT = {"strong_yes": 0.03, "yes": 0.015, "maybe": 0.0, "stretch": -0.015, "no": -0.03}
+
+
+def cosine_threshold(pairs: DataFrame, minimum: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs at or over `minimum`, candidate_id with n_input, n_passed and n_rejected). A null score is rejected."""
+    if not 0 <= minimum <= 1:
+        raise ValueError("a cosine threshold lies between 0 and 1")
+    passed = F.coalesce(F.col("cosine_score") >= minimum, F.lit(False))
+    counts = pairs.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_input"), F.count_if(passed).alias("n_passed"), F.count_if(~passed).alias("n_rejected"))
+    return pairs.where(passed), counts
+
+
+def label_rerank(ranked: DataFrame, labels: DataFrame, window: int) -> DataFrame:
+    """`ranked` (candidate_id, job_id, final_score, rank, ...) with label, adjustment, adjusted_score, enriched and
+    place. Labels (candidate_id, job_id, label; one each) count for the first `window` ranks, which are sorted anew by
+    adjusted and final score; the tail keeps its places. A row without a label keeps its score."""
+    got = ranked.join(labels.select("candidate_id", "job_id", F.col("label").alias("__label")), ["candidate_id", "job_id"], "left")
+    inside = F.col("rank") <= window
+    label = F.when(inside, F.col("__label"))
+    added = F.lit(0.0)
+    for name, value in LABEL_ADJUSTMENT.items():
+        added = F.when(F.col("label") == name, value).otherwise(added)
+    got = got.withColumn("label", label).drop("__label").withColumn("adjustment", added)
+    got = got.withColumn("adjusted_score", F.round(F.col("final_score") + F.col("adjustment"), 6)).withColumn("enriched", F.col("label").isNotNull())
+    order = [(~inside).cast("int"), F.when(inside, -F.col("adjusted_score")), F.when(inside, -F.col("final_score")), F.col("rank")]
+    return got.withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*order)))

@@ -89,3 +89,11 @@ def align_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
     """`skills` (raw, ...) with alias, uri and status: mapped or unknown."""
     spelt = skills.withColumn("alias", N.skill_text(F.col("raw")))
     return spelt.join(aliases.select("alias", "uri"), "alias", "left").withColumn("status", F.when(F.col("uri").isNull(), "unknown").otherwise("mapped"))
+
+
+def pending_parse(rows: DataFrame, version: int, version_only: bool = False, exclude: DataFrame | None = None) -> DataFrame:
+    """Rows with content (description_plain or description_html_key) whose structured_version is below `version`, or
+    absent unless version_only; not those whose job_id is in `exclude`."""
+    old = F.coalesce(F.col("structured_version") < version, F.lit(not version_only))
+    left = rows.where((F.col("description_plain").isNotNull() | F.col("description_html_key").isNotNull()) & old)
+    return left if exclude is None else left.join(exclude.select("job_id"), "job_id", "left_anti")

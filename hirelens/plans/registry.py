@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hirelens.functions import html as H
 from hirelens.functions import normalize as N
 from hirelens.functions import vocabulary as V
 from hirelens.operators import embeddings as E
@@ -325,3 +326,38 @@ def o80_streaming_metrics(spark, sf_dir):
     out = stream.windowed_metrics(log)
     stream.run_once(out, f"{at}/out", f"{at}/log")
     return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(f"SELECT page_id, {H.html_text_sql('html')} AS plain FROM pages")
+def o27_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", H.html_text(F.col("html")).alias("plain"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 AND trim(coalesce(html, '')) <> '' THEN {H.html_text_sql('html')} WHEN page_id % 2 = 1 THEN url ELSE '' END AS plain FROM pages")
+def o28_hydrate(spark, sf_dir):
+    plain = F.when(F.col("page_id") % 2 == 1, F.col("url")).otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", H.hydrated(plain, F.col("html")).alias("plain"))
+
+
+@query(f"WITH {PAIRS} SELECT candidate_id, count(*) AS n_input, count(*) FILTER (WHERE cosine_score >= 0.2) AS n_passed, count(*) FILTER (WHERE cosine_score < 0.2) AS n_rejected FROM p GROUP BY 1")
+def o53_threshold(spark, sf_dir):
+    return M.cosine_threshold(_pairs(spark, sf_dir), 0.2)[1]
+
+
+@query(f"""WITH {J}, v AS (SELECT job_id, description_plain, CASE WHEN job_id % 5 <> 0 THEN job_id % 4 END AS version FROM j)
+  SELECT job_id FROM v WHERE description_plain IS NOT NULL AND (version IS NULL OR version < 3) AND job_id NOT IN (SELECT doc_id FROM labels)""")
+def o55_pending(spark, sf_dir):
+    rows = jobs(spark, sf_dir).withColumns({"structured_version": F.when(F.col("job_id") % 5 != 0, F.col("job_id") % 4), "description_html_key": F.lit(None).cast("string")})
+    return R.pending_parse(rows, 3, exclude=table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"))).select("job_id")
+
+
+@query(f"""WITH m AS ({ORACLES["o96_match_pipeline"]}), r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY final_score DESC, job_id) AS rank FROM m),
+  a AS (SELECT r.*, CASE WHEN rank <= 20 THEN CASE quality WHEN 1 THEN 'yes' WHEN 0 THEN 'stretch' END END AS label FROM r LEFT JOIN labels ON doc_id = job_id),
+  s AS (SELECT *, round(final_score + CASE label WHEN 'yes' THEN 0.015::DOUBLE WHEN 'stretch' THEN -0.015::DOUBLE ELSE 0.0::DOUBLE END, 6) AS adjusted_score FROM a)
+  SELECT candidate_id, job_id, label, adjusted_score, row_number() OVER (PARTITION BY candidate_id ORDER BY rank > 20, CASE WHEN rank <= 20 THEN -adjusted_score END, CASE WHEN rank <= 20 THEN -final_score END, rank) AS place FROM s""")
+def o76_label_rerank(spark, sf_dir):
+    ranked = QUERIES["o96_match_pipeline"](spark, sf_dir)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("final_score"), "job_id")))
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "stretch").alias("label"))
+    labels = ranked.select("candidate_id", "job_id").join(said, "job_id")
+    return M.label_rerank(ranked, labels, 20).select("candidate_id", "job_id", "label", "adjusted_score", "place")

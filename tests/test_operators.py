@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from hirelens.functions import html as H
 from hirelens.functions import normalize as N
 from hirelens.operators import embeddings as E
 from hirelens.operators import matching as M
@@ -117,3 +118,18 @@ def test_top_k_plan_has_no_cross_join(spark):
     plan = near._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
     assert near.count() == 6
+
+
+def test_html_text(spark):
+    rows = [("&lt;p&gt;One &amp;amp; two&lt;/p&gt;",), ("<p>A</p><script>x < y</script><ul><li>b</li><li>c<br/>d</li></ul>",), ("<div>1</div>\n\n\n<div>2</div><!-- <p>no</p> -->",), (None,), ("",), ("3 < 4",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "html string").select(H.html_text(F.col("html"))).collect()]
+    assert [x.split() for x in got] == [["One", "&", "two"], ["A", "b", "c", "d"], ["1", "2"], [], [], ["3", "<", "4"]]
+    assert got[0] == "One & two" and got[2] == "1 \n\n2" and "b \n c \n d" in got[1]
+
+
+def test_label_rerank(spark):
+    ranked = spark.createDataFrame([(1, "a", 0.90, 1), (1, "b", 0.89, 2), (1, "c", 0.89, 3), (1, "d", 0.5, 4)], "candidate_id int, job_id string, final_score double, rank int")
+    labels = spark.createDataFrame([(1, "a", "stretch"), (1, "c", "strong_yes"), (1, "d", "strong_yes")], "candidate_id int, job_id string, label string")
+    got = {r.job_id: r for r in M.label_rerank(ranked, labels, 3).collect()}
+    assert [got[j].place for j in "cbad"] == [1, 2, 3, 4]
+    assert got["c"].adjusted_score == 0.92 and not got["b"].enriched and got["d"].label is None
