@@ -94,9 +94,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: Rows, earlier: np.ndarray, y: np.ndarray, n_words: int) -> Linear:
-    """Logistic regression by proximal AdaGrad over all rows at a time, on the words whose first gradient
-    exceeds LEAST times the noise of a gradient (at most that of any word), and what the largest of `n_words` tests without any
-    effect would reach. An L1 penalty (PENALTY times it) then keeps weights small."""
+    """Logistic regression by proximal AdaGrad over all rows at a time.
+
+    Only words take part whose first gradient exceeds LEAST times the most noise any word's gradient can have, and
+    what the largest of `n_words` tests without any effect would reach. The L1 penalty is PENALTY times that noise.
+    """
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
     model = Linear(np.zeros(n_words), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
     if not len(y) or y.min() == y.max():
