@@ -1,8 +1,10 @@
 """Quality rules from tokeniser fertility: how a public vocabulary takes a text apart.
 
 Text in a language and script that a vocabulary knows takes few tokens per character, needs few single bytes
-and uses many different tokens; encoded blobs, wrong decodings and repetition don't. Each measure has a band per
-script; outside of one, a document is rejected. All measures come from one pass over each whole text.
+and uses many different tokens; encoded blobs, wrong decodings and repetition don't. Each measure has a wide band per
+script, which holds for any corpus. Within it, characters per token and token entropy have narrow fences per language
+and length, from the corpus's own quartiles: words of a language take apart alike, and entropy grows with length
+alike, so litter and lists of words stand out. All measures come from one pass over each whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.llm.encoding import ODD, slices
-from hirelens.llm.shared import table
+from hirelens.llm.shared import bounded_broadcast, materialize, table
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 WINDOW = 5
@@ -45,6 +47,11 @@ BANDS = {
     "cjk": Band(0.25, 4.0, 0.95),
     "other": Band(0.25, 8.0, 0.95, 0.35),
 }
+#: Fences lie so many times the spread between quartiles below the first and above the third one (None: no fence).
+#: A spread counts as `least` at least, so that copies of one text don't narrow a fence to themselves.
+FENCES = {"chars_per_token": (2.5, 2.5, 0.025), "token_entropy": (2.0, None, 0.07)}
+#: Texts that a language's length class (tokens by powers of two, the longest together) must have for fences.
+FENCE_TEXTS, LONGEST, MAX_FENCES = 40, 12, 100_000
 #: Code points (first, last) of each script's main blocks.
 SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "cyrillic": ((0x400, 0x52F),), "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))}
 
@@ -141,17 +148,11 @@ def in_band(band: Band, n_tokens: int, chars: float, byte_share: float, entropy:
 _held: dict = {}
 
 
-def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
-    """`docs` with the measures of its text column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
-    (long), chars_per_token, byte_share, token_entropy, script, base_failed and kept.
-
-    A null text has no words and fails, as any text of under ten words does. Every row is judged by itself,
-    repeated rows alike. Columns of `docs` that have the name of a measure are replaced.
-    """
-    path, limits = vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-    kept = docs.select(*(c for c in docs.columns if c not in names))
-    kind = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in MEASURES.split(", "))])
+def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list[str]) -> DataFrame:
+    """The `carried` columns of `docs` and the measures, as each row has them by itself, with __length, the class of
+    the text's length in tokens."""
+    fields = f"{MEASURES}, __length long"
+    kind = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (x.split() for x in fields.split(", "))])
 
     def judge(text: str) -> tuple:
         counts = base_counts(text)
@@ -161,27 +162,77 @@ def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[
         script = script_of(text)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         good = not failed and in_band(limits.get(script, limits["other"]), n_tokens, chars, byte_share, entropy)
-        return *counts, chars, byte_share, entropy, script, failed, good
+        return *counts, chars, byte_share, entropy, script, failed, good, min(LONGEST, n_tokens.bit_length() - 1)
 
     def run(batches):
         for batch in batches:
             for some in slices(batch):
                 rows = [judge(t or "") for t in some.column("text").to_pylist()]
                 made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)]
-                yield pa.RecordBatch.from_arrays([*some.columns, *made], names=[*some.schema.names, *kind.names])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in carried), *made], names=[*carried, *kind.names])
+
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carried).schema)
+    return docs.mapInArrow(run, own + fields)
+
+
+def corpus_fences(measured: DataFrame) -> DataFrame:
+    """(language, __length, one array of low and high per measure of FENCES) from the rows that are kept so far.
+    Equal texts count once. Quartiles are those of values rounded to thousandths, so a group's are few."""
+    texts = measured.where("kept").select("language", "__length", *FENCES).distinct()
+    values = texts.select("language", "__length", F.posexplode(F.array(*(F.round(c, 3) for c in FENCES))).alias("at", "value"))
+    counted = values.groupBy("language", "__length", "at", "value").agg(F.count(F.lit(1)).alias("n"))
+    quarters = counted.groupBy("language", "__length", "at").agg(F.sum("n").alias("texts"), F.percentile("value", [0.25, 0.75], F.col("n")).alias("q")).where(F.col("texts") >= FENCE_TEXTS)
+
+    def fence(at: int, below: float | None, above: float | None, least: float):
+        low, high = F.col("q")[0], F.col("q")[1]
+        spread = F.greatest(high - low, F.lit(least))
+        limits = F.array(F.lit(float("-inf")) if below is None else low - below * spread, F.lit(float("inf")) if above is None else high + above * spread)
+        return F.max(F.when(F.col("at") == at, limits))
+
+    return quarters.groupBy("language", "__length").agg(*(fence(i, *x).alias(f"__{c}") for i, (c, x) in enumerate(FENCES.items())))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, {MEASURES}")
+
+def _fenced(measured: DataFrame) -> DataFrame:
+    """`measured` (materialised, with language) with `kept` by the fences too; without fences it stays."""
+    fences = bounded_broadcast(materialize(corpus_fences(measured), "fences"), MAX_FENCES)
+    within = F.lit(True)
+    for c in FENCES:
+        within &= F.coalesce(F.col(c).between(F.col(f"__{c}")[0], F.col(f"__{c}")[1]), F.lit(True))
+    got = measured.join(fences, ["language", "__length"], "left").withColumn("kept", F.col("kept") & within)
+    return got.drop("language", "__length", *(f"__{c}" for c in FENCES))
+
+
+def _language(docs: DataFrame):
+    """The language that fences are told apart by: the documents' own, else only the script."""
+    return F.coalesce(F.col("lang").cast("string"), F.col("script")) if "lang" in docs.columns else F.col("script")
+
+
+def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None, with_text: bool = True) -> DataFrame:
+    """`docs` (with_text: its text too) with the measures of its text column: n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words (long), chars_per_token, byte_share, token_entropy, script, base_failed and kept.
+
+    A null text has no words and fails, as any text of under ten words does. Repeated rows are judged alike. The
+    fences are those of `docs`, by its column lang if it has one; where a language has too few texts of a length,
+    only the bands hold. Columns of `docs` that have the name of a measure are replaced.
+    """
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+    carried = [c for c in docs.columns if c not in names and (with_text or c != "text")]
+    own = [c for c in carried if c in ("language", "__length")]
+    docs = docs.withColumnsRenamed({c: f"__own_{c}" for c in own})
+    inner = [f"__own_{c}" if c in own else c for c in carried]
+    measured = _measured(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS, inner)
+    judged = _fenced(materialize(measured.withColumn("language", _language(measured)), "measures"))
+    return judged.select(*(F.col(a).alias(b) for a, b in zip(inner, carried, strict=True)), *names)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass the base rules and their script's band, with their own columns. A column
-    that has a measure's name is carried past the measures under another name."""
-    safe = docs.select(*(F.col(c).alias(c if c == "text" else f"__{i}") for i, c in enumerate(docs.columns)))
+    """The rows of `docs` that pass the base rules, their script's band and their language's fences, with their own
+    columns. A column that has a measure's name is carried past the measures under another name."""
+    safe = docs.select(*(F.col(c).alias(c if c in ("text", "lang") else f"__{i}") for i, c in enumerate(docs.columns)))
     good = measure_quality(safe).where("kept")
-    return good.select(*(F.col(c if c == "text" else f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return good.select(*(F.col(c if c in ("text", "lang") else f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return measure_quality(docs).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return measure_quality(docs, with_text=False).drop("lang")

@@ -290,6 +290,13 @@ def test_quality_bands_and_awkward(spark, docs, none):
     assert quality.repeated_words([f"w{i}" for i in range(9000)] * 2) == 18_000  # codes beyond 63 bits are renumbered
 
 
+def test_quality_separates_labelled_junk(spark):
+    large = "/root/testdata/sf0.1"
+    got = quality.op7_quality(spark, large).join(shared.table(spark, large, "labels"), "doc_id").where("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.85 * (n[0, False] + n[0, True]) and n[1, True] > 0.995 * (n[1, False] + n[1, True])
+
+
 # packing
 
 
