@@ -1,8 +1,8 @@
 """Vector bin packing of token sequences.
 
 A sequence has three limits at once: tokens, segments (pieces), and loss-bearing tokens. Each task packs the
-documents of its partition, some dozens at a time: whole sequences are cut off long documents first; then, bin by
-bin, the document with the largest dot product of its demand with the bin's free room is placed, both measured
+documents of its partition, some hundreds at a time and as many as a full sequence takes: whole sequences are cut off
+long documents first; then, bin by bin, the document with the largest dot product of its demand with the bin's free room is placed, both measured
 in shares of the limits. If none fits in whole, one is cut to fill the bin. What stays under-filled at the end of a
 task's rows is packed once more with that of other tasks, so few sequences in all need padding.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hirelens.llm.encoding import encoder, slices
 from hirelens.llm.shared import materialize, table
 
-END_ID, BUFFER, TASK_SEQUENCES = 1, 64, 256
+END_ID, BUFFER, TASK_SEQUENCES = 1, 256, 256
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,16 @@ class Piece:
 class Packer:
     def __init__(self, limits: Limits, buffer: int = BUFFER):
         self.limits, self.buffer, self.waiting = limits, buffer, []
+        self.caps = np.array([limits.tokens, limits.segments, limits.loss], float)
+        self.demand, self.sums = np.zeros((0, 3)), np.zeros(3)  # of the waiting ones; rows beyond them are unused
+
+    def _wait(self, piece: Piece) -> None:
+        n = len(self.waiting)
+        if n == len(self.demand):
+            self.demand = np.concatenate((self.demand, np.zeros((max(n, 512), 3))))
+        self.demand[n] = piece.length, 1, piece.loss()
+        self.sums += self.demand[n]
+        self.waiting.append(piece)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes a document; gives the sequences that are full by it."""
@@ -73,9 +83,10 @@ class Packer:
             if n == self.limits.tokens:
                 yield [head]
             else:
-                self.waiting.append(head)
-        self.waiting.append(piece)
-        while len(self.waiting) > self.buffer:
+                self._wait(head)
+        self._wait(piece)
+        # few short pieces, however many are looked ahead at, don't fill a sequence: they wait for more
+        while len(self.waiting) > self.buffer and (self.sums >= self.caps).any():
             yield self._fill()
 
     def rest(self) -> Iterator[list[Piece]]:
@@ -83,19 +94,19 @@ class Packer:
             yield self._fill()
 
     def _fill(self) -> list[Piece]:
-        caps = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        pieces = self.waiting
-        demand = np.array([(p.length, 1, p.loss()) for p in pieces], float)
+        caps, pieces = self.caps, self.waiting
+        demand = self.demand[: len(pieces)]
+        shares = demand / caps
         free, there, placed = caps.copy(), np.ones(len(pieces), bool), []
         while free[0] > 0 and free[1] > 0 and there.any():
             fits = there & (demand <= free).all(axis=1)
             if fits.any():
-                i = int(np.where(fits, demand / caps @ (free / caps), -1.0).argmax())
+                i = int(np.where(fits, shares @ (free / caps), -1.0).argmax())
                 placed.append(pieces[i])
                 free -= demand[i]
                 there[i] = False
                 continue
-            sizes = np.array([p.fitting(int(free[0]), int(free[2])) if t else 0 for p, t in zip(pieces, there, strict=True)])
+            sizes = np.where(there, np.minimum(np.minimum(demand[:, 0], free[0]), demand[:, 0] - demand[:, 2] + free[2]), 0)  # as Piece.fitting
             i = int(sizes.argmax())
             if not sizes[i]:
                 break
@@ -104,9 +115,12 @@ class Packer:
             free -= (head.length, 1, head.loss())
             pieces[i] = tail
             demand[i] = (tail.length, 1, tail.loss())
+            shares[i] = demand[i] / caps
             if free[0] > 0 and (demand[there] > free).all():
                 continue
+        left = demand[there]
         self.waiting = [p for p, t in zip(pieces, there, strict=True) if t]
+        self.demand[: len(left)], self.sums = left, left.sum(axis=0)
         return placed
 
 

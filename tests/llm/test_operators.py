@@ -336,6 +336,18 @@ def test_packing_limits_and_awkward(spark, docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+@pytest.mark.parametrize(("least", "most", "rare"), [(1, 2, 0), (5, 15, 0), (2, 9, 0.1)])
+def test_many_short_documents_leave_little_padding(least, most, rare):
+    rng, limits = np.random.default_rng(7), packing.Limits()
+    sizes = np.where(rng.random(20_000) < rare, rng.integers(100, 800, 20_000), rng.integers(least, most, 20_000)).tolist()
+    packer = packing.Packer(limits)
+    pieces = (packing.Piece(i, 0, bytes(4 * n), n, 0) for i, n in enumerate(sizes))
+    got = [s for p in pieces for s in packer.add(p)] + list(packer.rest())
+    assert sum(p.length for s in got for p in s) == sum(sizes)
+    assert all(len(s) <= limits.segments and sum(p.length for p in s) <= limits.tokens for s in got)
+    assert len(got) <= 1.01 * max(sum(sizes) / limits.tokens, len(sizes) / limits.segments) + 2
+
+
 # chat
 
 
