@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.encoding import slices
 from hirelens.llm.graph import components
+from hirelens.llm.near_copies import drop_near_copies
 from hirelens.llm.shared import bounded_broadcast, materialize, table
 
 WORDS, RADIUS, SHARD = 3, 3, 512
@@ -184,11 +185,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one with the smallest doc_id. Rows without
-    an id stay, as they can't be told apart; a repeated id stays with all its rows."""
-    gone = near_duplicates(docs, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: near copies by their shingles. The radius of this module is op6's alone; it is far
+    tighter."""
+    return drop_near_copies(docs)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hirelens.llm import chat, decontaminate, graph, lang_id, line_dedup, packing, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
+from hirelens.llm import chat, decontaminate, graph, lang_id, line_dedup, near_copies, packing, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
 from hirelens.llm.encoding import ChunkEncoder
 from tests.compare import assert_same
 
@@ -241,6 +241,48 @@ def test_simhash_awkward(spark, docs, none):
     assert simhash.drop_near_duplicates(docs).where("doc_id IN (2, 3)").count() == 0
 
 
+def slow_near(rows, least=0.8):
+    """Pairs of places in `rows` whose five-word shingle sets have a Jaccard of `least` or more."""
+    sets, by = [], {}
+    for i, t in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+        for x in sets[-1]:
+            by.setdefault(x, []).append(i)
+    pairs = {p for at in by.values() if len(at) > 1 for p in itertools.combinations(at, 2)}
+    return sorted((a, b) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9)
+
+
+@pytest.mark.parametrize("part", [3, 256])
+def test_stage_drops_near_copies_as_brute_force(spark, part):
+    rng = np.random.default_rng(4)
+    rows = [(r.doc_id, r.text) for r in texts(spark, SF)]
+    for n in (12, 40, 150, 600, 2500):  # edited in so many places that some copies are near and some are not
+        base = [f"u{x}" for x in rng.integers(0, 10**6, n)]
+        for c in range(14):
+            own = list(base)
+            for at in rng.choice(n, max(1, c * n // 300), replace=False):
+                own[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((10_000 * n + c, " ".join(own)))
+    left = near_copies.drop_near_copies(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, key string"), part)
+    root = list(range(len(rows)))
+    links = slow_near([t for _, t in rows])
+    for _ in rows:
+        before = list(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert len(links) > 50 and sorted(r.doc_id for r in left.collect()) == sorted(rows[i][0] for i in set(root))
+
+
+def test_stage_tells_rows_apart_by_their_text(spark):
+    words, other, alone = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, words), (2, other), (2, words), (2, other), (None, alone), (None, alone + " more"), (None, words)]
+    left = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in left) == [(0, "c0"), (1, "a0"), (2, "b0")]
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = np.random.default_rng(2)
     values = [int(x) for x in rng.integers(0, 1 << 12, 300)]
