@@ -1,14 +1,30 @@
-"""Whole texts to token ids with public tokenizer files, encoding each distinct space-delimited chunk once."""
+"""Whole texts to token ids with public tokenizer files: each distinct word is encoded once."""
 
 from __future__ import annotations
 
 import re
+import struct
 from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow.compute as pc
 
-#: Symbols that may follow a word in the short way of `_piece`.
-AFTER = ".,;:!?)"
+#: A space before white space or at the end.
+ODD = re.compile(r" (?:\s|$)").search
+#: Letters of plain texts, Latin and Cyrillic: those that have one code point in every normal form and in lower case.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſЀ-џ"
+#: What a plain text may hold: these, digits, ASCII and typographic signs, spaces and line ends. The apostrophe isn't
+#: plain, since the files treat some endings behind it by themselves.
+PLAIN = re.compile(rf"[{LETTERS}0-9 \n!-&(-/:-@\[-`{{-~\u2010-\u2027\u2030-\u205e€]*").fullmatch
+#: The files' own rules of what is merged by itself, for plain texts.
+WORDS = {
+    True: re.compile(rf" ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+").findall,
+    False: re.compile(rf"[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+").findall,
+}
+#: Where a text can be cut: no word spans it.
+CUT = re.compile(r" (?=\S)")
+#: Characters that are taken apart at once.
+STRETCH = 4_000_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -18,96 +34,83 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
 
 
-#: A space before white space or at the end.
-ODD = re.compile(r" (?:\s|$)").search
-
-
 class ChunkEncoder:
-    """Token ids of whole texts, equal to those of one call over the text.
+    """Token ids of whole texts, equal to those of one `encode(text, add_special_tokens=False)` each.
 
-    A tokenizer splits a text before it merges symbols, and a space that a non-space follows always starts a
-    new pre-token (byte-level files keep it as the word's first symbol; the word file drops it). So a text's
-    ids are its chunks' ids, one after the other. Chunks recur, so the library sees each only once; the memory
-    for them is emptied at `max_chunks`. A part that is empty or starts with white space isn't cut off: it
-    stays with the part before it.
+    A tokenizer takes a text apart into words, numbers and runs of signs before it merges symbols in each. Of plain
+    texts that is done here by the files' own rules, and the library's model is asked for each distinct word once. A
+    space that a non-space follows always starts a new word, so any other text is cut into parts at such spaces; its
+    plain parts are treated alike, and the others go the library's whole way, as does a text that holds an added
+    token's own string.
+
+    Words are remembered in two generations: when the younger one has `max_words`, it becomes the older, whose words
+    are forgotten unless they were met again since.
     """
 
-    def __init__(self, path: str, leading_space: bool, max_chunks: int = 1_500_000):
+    def __init__(self, path: str, leading_space: bool, max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.leading_space, self.prefix = leading_space, " " if leading_space else ""
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.leading_space = leading_space
         self.characters = byte_characters()
-        self.space = self.characters[32] if leading_space else ""
-        self.max_chunks, self.known = max_chunks, {}
-        self.tails: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        self.words_of = WORDS[leading_space]
+        self.max_words, self.young, self.old = max_words, {}, {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.young.get(word) or self.old.get(word)  # a word has an id at least
+        if ids is None:
+            shown = word.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self.young) >= self.max_words:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        words = self.words_of(text if self.leading_space else text.lower())
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            ids = [self._word(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+        return b"".join(ids)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > self.max_chunks:
-            self.known.clear()
-            self.tails.clear()
-        other = []
-        for p in dict.fromkeys(parts):
-            ids = self._piece(p)
-            if ids is None:
-                other.append(p)
-            else:
-                self.known[p] = ids
-        if other:
-            self.known.update(zip(other, self._encode([self.prefix + p for p in other]), strict=True))
-
-    def _piece(self, part: str) -> bytes | None:
-        """The short way for a Latin word that some of AFTER may follow: it is one pre-token and these are
-        another, so the library's model can be asked straight away. Null if `part` is anything else."""
-        word = part.rstrip(AFTER)
-        if not word.isalpha() or max(word) > "\u024f":
-            return None
-        after = part[len(word) :]
-        if after:  # the word alone may be known; if not, it is learned too
-            if word not in self.known:
-                self.known[word] = self._piece(word)
-            if after not in self.tails:
-                self.tails[after] = array("I", [t.id for t in self.model.tokenize(after)]).tobytes()
-            return self.known[word] + self.tails[after]
-        if not self.leading_space:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.characters)
-        found = self.model.tokenize(self.space + word)
-        return array("I", [t.id for t in found]).tobytes()
-
     @staticmethod
     def parts(text: str) -> list[str]:
-        parts = text.split(" ")
-        if ODD(text):
-            joined = [parts[0]]
-            for p in parts[1:]:
-                if not p or p[0].isspace():
-                    joined[-1] += " " + p
-                else:
-                    joined.append(p)
-            return joined
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = []
+        """`text` cut before each space that a non-space follows."""
+        head, *rest = CUT.split(text)
+        return [head, *(" " + x for x in rest)]
+
+    def _mixed(self, text: str) -> bytes:
+        parts = self.parts(text)
+        plain = [PLAIN(p) for p in parts]
+        other = iter(self._whole([p for p, x in zip(parts, plain, strict=True) if not x]))
+        return b"".join(self._plain(p) if x else next(other) for p, x in zip(parts, plain, strict=True))
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """`text` in stretches, so that a very long one is never held as words at once."""
+        at = 0
+        while at < len(text):
+            cut = CUT.search(text, at + STRETCH)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def encode(self, texts: Iterable[str | None], end: int | None = None) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Nulls are empty. `end` is put behind each text
+        if it is given."""
+        last = b"" if end is None else struct.pack("<I", end)
         for text in texts:
-            head, *rest = self.parts(text)
-            ids = list(map(self.known.get, rest))
-            if None in ids:
-                self._learn([p for p, i in zip(rest, ids, strict=True) if i is None])
-                ids = [self.known[p] if i is None else i for p, i in zip(rest, ids, strict=True)]
-            out.append(b"".join(ids))
-            if head:  # has no space before it
-                out[-1] = self._encode([head])[0] + out[-1]
-        return out
+            if not text:
+                yield last
+            elif any(a in text for a in self.added):
+                yield self._whole([text])[0] + last
+            else:
+                yield b"".join(self._plain(x) if PLAIN(x) else self._mixed(x) for x in self._stretches(text)) + last
 
 
 _held: dict = {}
@@ -120,7 +123,7 @@ def encoder(path: str, leading_space: bool) -> ChunkEncoder:
     return _held[path, leading_space]
 
 
-def slices(batch, text: str = "text", max_bytes: int = 8_000_000):
+def slices(batch, text: str = "text", max_bytes: int = 8_000_000) -> Iterable:
     """Cuts an Arrow batch by text size, so that a run of long texts is never held twice at once."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = held = 0

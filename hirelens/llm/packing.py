@@ -9,7 +9,6 @@ task's rows is packed once more with that of other tasks, so few sequences in al
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -169,7 +168,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     are packed as documents of their own. Sequence ids are unique and have gaps. No rows: no pieces.
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
-    end = struct.pack("<I", end_id)
     share = F.lit(1.0) if loss_share is None else F.coalesce(loss_share.cast("double"), F.lit(1.0))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), share.alias("share"))
 
@@ -177,10 +175,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         def pieces():
             for batch in batches:
                 for some in slices(batch):
-                    texts = encoder(tokenizer, False).encode(some.column("text").to_pylist())
+                    texts = encoder(tokenizer, False).encode(some.column("text").to_pylist(), end_id)
                     for doc_id, x, y in zip(some.column("doc_id").to_pylist(), texts, some.column("share").to_pylist(), strict=True):
-                        n = len(x) // 4 + 1
-                        yield Piece(doc_id, 0, x + end, n, n - round(n * min(1.0, max(0.0, y))))
+                        n = len(x) // 4
+                        yield Piece(doc_id, 0, x, n, n - round(n * min(1.0, max(0.0, y))))
 
         yield from _pack(pieces(), limits, TaskContext.get().partitionId() << 32, True)
 

@@ -184,8 +184,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, leading_space: bool
     """Encodes whole texts of `docs` (doc_id, text) and writes them to the folder `uri`, which driver and
     executors must share, with a `manifest.json` of the files in order.
 
-    Documents are in ascending doc_id order, those without an id first; rows that share an id in the order of
-    their texts, each kept. Null texts are empty; every document ends with `end_id`. No rows: no files. Columns
+    Documents are in ascending doc_id order, those without an id first; rows that share an id in the order of a hash
+    of their texts, then of the texts, each kept. Null texts are empty; every document ends with `end_id`. No rows: no files. Columns
     other than doc_id and text are ignored.
     """
     text = F.coalesce("text", F.lit(""))
@@ -193,16 +193,15 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, leading_space: bool
     dealt = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("tie"))
     dealt = dealt.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     pafs.FileSystem.from_uri(uri)[0].create_dir(pafs.FileSystem.from_uri(uri)[1])
-    end = struct.pack("<I", end_id)
 
     def write(batches):
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
             for some in slices(batch):
-                ids = encoder(tokenizer, leading_space).encode(some.column(1).to_pylist())
+                ids = encoder(tokenizer, leading_space).encode(some.column(1).to_pylist(), end_id)
                 writer = writer or Writer(uri, f"part-{part:06d}.pfr")
                 for doc_id, x in zip(some.column(0).to_pylist(), ids, strict=True):
-                    writer.add(doc_id, x + end)
+                    writer.add(doc_id, x)
         if writer:
             _, n_tokens, n_docs = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "n_tokens": [n_tokens], "n_docs": [n_docs]}, schema=written)

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hirelens.llm import chat, decontaminate, graph, lang_id, line_dedup, near_copies, packing, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
-from hirelens.llm.encoding import ChunkEncoder
+from hirelens.llm import chat, decontaminate, encoding, graph, lang_id, line_dedup, near_copies, packing, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
 from tests.compare import assert_same
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -57,13 +56,22 @@ def test_sql(spark, name):
 # encoding and token files
 
 
+ENCODED = [
+    "a  b", "a \nb", "a\n  b", "  lead", "trail  ", " ", "", "a\t\tb c's don't  'll", "e\u0301 \u0300a", "x\u0085 b\u3000 c", "\x1c a", "foo.\n\nbar\n\n\nbaz\n",
+    "a <|endoftext|> b", "x<|startoftext|>", "İstanbul İ ǅ Straße ẞ ŉ ſ", "n1b22 3c 44 12345 ²³ ½", "日本語 漢字 éà", "$$$ %%a! ^_` {x} ~", "“Так” — й… €5", "𝒜 𐐀 ß Σας", "a\r\nb c\r\n",
+]
+
+
+@pytest.mark.parametrize("stretch", [40, 4_000_000])
 @pytest.mark.parametrize(("file", "space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_chunks_encode_as_whole_texts(spark, file, space):
-    own, whole = ChunkEncoder(public_tokenizers.path(file), space, max_chunks=50), Tokenizer.from_file(public_tokenizers.path(file))
-    whole.encode_special_tokens = True
-    some = [r.text for r in texts(spark)[:60]] + [t or "" for _, t, *_ in AWKWARD]
-    some += ["a  b", "a \nb", "a\n  b", "  lead", "trail  ", " ", "a\t\tb c's don't  'll", "e\u0301 \u0300a", "x\u0085 b\u3000 c", "\x1c a"]
+def test_texts_encode_as_by_the_library(spark, monkeypatch, file, space, stretch):
+    monkeypatch.setattr(encoding, "STRETCH", stretch)
+    own, whole = encoding.ChunkEncoder(public_tokenizers.path(file), space, max_words=50), Tokenizer.from_file(public_tokenizers.path(file))
+    some = [r.text for r in texts(spark)[:60]] + [t or "" for _, t, *_ in AWKWARD] + ENCODED
+    rng, letters = np.random.default_rng(8), list("abÉé'sstre .,\n!3 4<|>_\t İßǆ×ɏ漢\u0301²“”…€Яй\u00a0")
+    some += ["".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(0, 60))) for _ in range(3000)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [e.ids for e in whole.encode_batch(some, add_special_tokens=False)]
+    assert [len(x) for x in own.encode([None, "", "a b"], 7)] == [4, 4, 12]
 
 
 def test_blocks_round_trip():
