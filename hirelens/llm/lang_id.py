@@ -20,6 +20,7 @@ from hirelens.llm.shared import table
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3, 4)
 MAX_ROWS, CENTROIDS, ROUNDS = 3000, 3, 12
 FLOOR_QUANTILE, FLOOR_FACTOR = 0.002, 0.5
+DRAWS = 1 << 63
 
 _letters: list = []
 
@@ -108,6 +109,14 @@ def fit(rows: list[tuple[str, np.ndarray]], n_centroids: int = CENTROIDS) -> Cen
     return Centroids(langs, idf, np.array(vectors, np.float32).reshape(-1, BUCKETS), np.array(lang_of, int), np.array(floors))
 
 
+def limit_by_language(sizes: dict[str, int], share: int) -> Column:
+    """The 63-bit hash up to which a row of a language is drawn, so that `share` are in expectation, of however many."""
+    limit = F.lit(-1).cast("long")
+    for lang, n in sizes.items():
+        limit = F.when(F.col("lang") == lang, F.lit(min(DRAWS, DRAWS * share // n) - 1).cast("long")).otherwise(limit)
+    return limit
+
+
 def train(labelled: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS) -> Centroids:
     """Fits on `labelled` (key, text, lang); rows without a language, a text or a letter teach nothing.
 
@@ -117,11 +126,7 @@ def train(labelled: DataFrame, key: str = "doc_id", max_rows: int = MAX_ROWS) ->
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("string").alias("key"), "text", "lang")
     sizes = {lang: n for lang, n in known.groupBy("lang").count().orderBy("lang").limit(max_rows).collect()}
     share = max(1, max_rows // max(1, len(sizes)))
-    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, share / n) * 1_000_000)).otherwise(rate)
-    drawn = known.where(draw < rate)
+    drawn = known.where(F.shiftrightunsigned(F.xxhash64("key"), 1) <= limit_by_language(sizes, share))
     kind = pa.schema([("lang", pa.string()), ("key", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
 
     def count(batches):
@@ -150,7 +155,7 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
     """`docs` with lang_pred, score and rejected for its text column, replacing columns of these names.
 
     lang_pred is the nearest centroid's language; `und` (score 0, rejected) if the text is null or has no
-    letter, or if nothing was learned. rejected marks texts that are too far from every centroid; who wants
+    letter, or if nothing was learned; of equally near centroids, that of the first language in text order. rejected marks texts that are too far from every centroid; who wants
     distance-based rejection to decide takes `und` for them.
     """
     kept = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score", "rejected")))

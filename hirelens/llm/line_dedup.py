@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from hirelens.llm.shared import bounded_broadcast, materialize, row_key, table
 
 MIN_SITES, MIN_CHARS, LOG2_K = 5, 20, 12
-MAX_LINES = 500_000
 
 
 def _key(line: Column) -> Column:
@@ -42,7 +41,7 @@ def boilerplate_lines(docs: DataFrame, site: str = "source", min_sites: int = MI
     spread = materialize(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - margin)).select("key", "keeper", "sites"), "line-spread")
     sure = spread.where(F.col("sites") > min_sites + margin).select("key", "keeper")
     near = spread.where(F.col("sites") <= min_sites + margin).select("key", "keeper")
-    exact = lines.join(bounded_broadcast(near.select("key"), MAX_LINES), "key", "left_semi").select("key", "site").distinct()
+    exact = lines.join(bounded_broadcast(near.select("key")), "key", "left_semi").select("key", "site").distinct()
     exact = exact.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return sure.unionByName(near.join(exact.select("key"), "key", "left_semi"))
 
@@ -57,19 +56,20 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     Repeated rows are treated alike.
     """
     lost = materialize(boilerplate_lines(docs, site, min_sites, min_chars), "boilerplate")
-    lines = _lines(docs, site, min_chars).join(bounded_broadcast(lost, MAX_LINES), "key")
-    hits = lines.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("k", "pos").distinct()
-    hits = materialize(hits.groupBy(F.col("k").alias("__k")).agg(F.collect_set("pos").alias("__cut")), "line-hits")
-    held = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__k", "__cut")]
-    whole = docs.select(*held, row_key().alias("__row"))
-    whole = whole.join(bounded_broadcast(hits, MAX_LINES), F.col("__row") == F.col("__k"), "left")
-    own = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(own, lambda x, i: ~F.array_contains(F.col("__cut"), i)), "\n")
-    text = F.when(F.col("__cut").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(own)).cast("long")
-    n_removed = F.coalesce(F.size("__cut"), F.lit(0)).cast("long")
-    out = {c: F.col(c) for c in held} | {"text": text}
-    return whole.select(*(c.alias(n) for n, c in out.items()), n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0)).alias("n_removed"))
+    lines = _lines(docs, site, min_chars).join(bounded_broadcast(lost), "key")
+    hits = lines.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("k", "doc_id", "pos").distinct()
+    # a row's own lines only, so an array is no longer than its text
+    hits = bounded_broadcast(materialize(hits.groupBy("k", "doc_id").agg(F.collect_set("pos").alias("cut")), "line-hits"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), row_key().alias("row"))
+    whole = whole.join(hits, (whole["row"] == hits["k"]) & whole["own.doc_id"].eqNullSafe(hits["doc_id"]), "left")
+    text, cut = F.col("own.text"), F.col("cut")
+    own = F.split(text, "\n", -1)
+    left = F.array_join(F.filter(own, lambda x, i: ~F.array_contains(cut, i)), "\n")
+    out = {c: F.col(f"own.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")}
+    out["text"] = F.when(cut.isNull() | text.isNull(), text).otherwise(left)
+    out["n_lines"] = F.when(text.isNull(), F.lit(0)).otherwise(F.size(own)).cast("long")
+    out["n_removed"] = F.greatest(F.coalesce(F.size(cut), F.lit(0)), F.lit(0)).cast("long")
+    return whole.select(*(c.alias(n) for n, c in out.items()))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

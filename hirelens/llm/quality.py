@@ -51,7 +51,7 @@ BANDS = {
 #: A spread counts as `least` at least, so that copies of one text don't narrow a fence to themselves.
 FENCES = {"chars_per_token": (2.5, 2.5, 0.025), "token_entropy": (2.0, None, 0.07)}
 #: Texts that a language's length class (tokens by powers of two, the longest together) must have for fences.
-FENCE_TEXTS, LONGEST, MAX_FENCES = 40, 12, 100_000
+FENCE_TEXTS, LONGEST = 40, 12
 #: Code points (first, last) of each script's main blocks.
 SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)), "cyrillic": ((0x400, 0x52F),), "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF))}
 
@@ -194,7 +194,7 @@ def corpus_fences(measured: DataFrame) -> DataFrame:
 
 def _fenced(measured: DataFrame) -> DataFrame:
     """`measured` (materialised, with language) with `kept` by the fences too; without fences it stays."""
-    fences = bounded_broadcast(materialize(corpus_fences(measured), "fences"), MAX_FENCES)
+    fences = bounded_broadcast(materialize(corpus_fences(measured), "fences"))
     within = F.lit(True)
     for c in FENCES:
         within &= F.coalesce(F.col(c).between(F.col(f"__{c}")[0], F.col(f"__{c}")[1]), F.lit(True))

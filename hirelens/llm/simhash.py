@@ -5,8 +5,11 @@ So each distinct fingerprint goes to one shard per block, by the block's value;
 by their integer Hamming distance to the parent) is searched with each of its fingerprints, following only edges
 within the radius. Shards are placed by that agreement and not sent to every executor, since all fingerprints
 have no size bound, and a tree must meet only the fingerprints that can be near. A shard of over SHARD fingerprints
-is dealt out as pairs of parts: each part's tree is searched with every part, so no pair is missed and no task
-grows. A task reports links that connect what it found near, not all near pairs.
+is split by the same rule: its fingerprints agree in one block, so near ones agree in whole on one of RADIUS + 1 equal
+blocks of the other bits. At 10 thousand million random fingerprints, that makes at most 16 copies of each and shards of
+some dozens. Only what is still over SHARD, a crowd of fingerprints that differ in few bits, is dealt out as pairs of
+parts: each part's tree is searched with every part, so no pair is missed and no task grows. A task reports links that
+connect what it found near, not all near pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.llm.encoding import slices
@@ -25,7 +28,6 @@ from hirelens.llm.near_copies import drop_near_copies
 from hirelens.llm.shared import bounded_broadcast, materialize, table
 
 WORDS, RADIUS, SHARD = 3, 3, 512
-MAX_HOT = 200_000
 
 
 def fingerprint(text: str | None, n: int = WORDS) -> int:
@@ -118,18 +120,35 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _bits(x: Column, low: int, high: int) -> Column:
+    """Bits `low` to `high` (excluded) of a long."""
+    return F.call_function("shiftrightunsigned", F.shiftleft(x, 64 - high), F.lit(64 - high + low))
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b) links between distinct fingerprints `fps` (fp) that connect all pairs within the radius."""
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    values = [F.struct(F.lit(i).alias("block"), F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("fp"), F.lit(64 - cuts[i + 1])), F.lit(64 - cuts[i + 1] + cuts[i])).alias("value")) for i in range(blocks)]
-    placed = fps.select("fp", F.explode(F.array(*values)).alias("at")).select("fp", "at.block", "at.value")
-    hot = materialize(placed.groupBy("block", "value").count().where(F.col("count") > shard).select("block", "value", F.ceil(F.col("count") / F.lit(shard)).cast("int").alias("parts")), "hot-shards")
-    placed = placed.join(bounded_broadcast(hot, MAX_HOT), ["block", "value"], "left")
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    first = [F.struct(F.lit(i).alias("block"), _bits(F.col("fp"), cuts[i], cuts[i + 1]).alias("value")) for i in range(radius + 1)]
+    placed = fps.select("fp", F.explode(F.array(*first)).alias("at")).select("fp", "at.block", "at.value")
+    large = materialize(placed.groupBy("block", "value").count().where(F.col("count") > shard).select("block", "value", F.lit(True).alias("split")), "large-shards")
+    placed = placed.join(bounded_broadcast(large), ["block", "value"], "left")
+    split = F.lit(None).cast("array<struct<sub:int,inner:bigint>>")
+    for i in range(radius + 1):
+        rest = 64 - (cuts[i + 1] - cuts[i])  # the other bits, turned so that they are the lowest
+        turned = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(cuts[i + 1])).bitwiseOR(F.shiftleft("fp", 64 - cuts[i + 1])) if cuts[i + 1] < 64 else F.col("fp")
+        at = [rest * j // (radius + 1) for j in range(radius + 2)]
+        inner = F.array(*(F.struct(F.lit(j).alias("sub"), _bits(turned, at[j], at[j + 1]).alias("inner")) for j in range(radius + 1)))
+        split = F.when(F.col("block") == i, inner).otherwise(split)
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("inner")))
+    placed = placed.select("fp", "block", "value", F.explode(F.when(F.col("split"), split).otherwise(whole)).alias("at")).select("fp", "block", "value", "at.sub", "at.inner")
+    keys = ["block", "value", "sub", "inner"]
+    hot = placed.where("sub >= 0").groupBy(*keys).count().where(F.col("count") > shard)
+    hot = materialize(hot.select(*keys, F.ceil(F.col("count") / F.lit(shard)).cast("int").alias("parts")), "hot-shards")
+    placed = placed.join(bounded_broadcast(hot), keys, "left")
     own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = placed.select("fp", "block", "value", own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-    dealt = dealt.select("block", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "fp")
-    keys = ["block", "value", "p", "q"]
+    dealt = placed.select("fp", *keys, own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "fp")
+    keys += ["p", "q"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "own", "fp")
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -141,12 +160,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         rest = None
         for table_ in _then_none(batches):
             if table_ is not None:
-                cols = [table_.column(c).to_numpy(zero_copy_only=False) for c in ("block", "value", "p", "q", "own", "fp")]
+                cols = [table_.column(c).to_numpy(zero_copy_only=False) for c in (*keys, "own", "fp")]
                 rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
-            block, value, p, q, own, fp = rest
-            new = np.flatnonzero((block[1:] != block[:-1]) | (value[1:] != value[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            *at, own, fp = rest
+            p, q = at[-2:]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
             bounds = np.concatenate(([0], new, [len(fp)]))
             last = len(bounds) - 1 if table_ is None else len(bounds) - 2  # the last group may go on in the next batch
             found: list[tuple[int, int]] = []

@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
     known = known.agg(F.max(1 - F.col("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
     drawn = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "labelled")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded_broadcast(drawn, max_rows), F.col("id") == F.col("doc_id"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded_broadcast(drawn), F.col("id") == F.col("doc_id"))
     kind = pa.schema([("doc_id", pa.int64()), ("low_quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.list_(pa.int32()))])
 
     def run(batches):

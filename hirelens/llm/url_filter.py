@@ -3,7 +3,9 @@
 Level 0 encodes the listed keys. Level 1 encodes those unlisted keys of the corpus that level 0 lets through,
 level 2 the listed keys that level 1 lets through, and so on until a level lets nothing through. A key's answer
 is the side of the first level that rejects it. As the levels were built against every key of the corpus, the
-answer is exact for each of them, without a join: a page is judged by bit tests on constants of the plan.
+answer is exact for each of them, without a join: a page is judged by bit tests on constants of the plan. A list
+whose filters would be too large for that is split into segments by the keys' hash, each with a cascade of its own;
+pages are then judged segment by segment, by the same bit tests.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ LISTED_DOMAINS = tuple(
     for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
     for tld in ("com", "net", "org")
 )
-MAX_RULES = 500
+#: Rules in one expression; more are tried in turn, by further passes.
+RULES_AT_ONCE = 200
 PER_BYTE, BYTES = 7, 8  # bits in a byte of the constant (so that it is ASCII), bytes in a collected long
 
 
@@ -50,15 +53,18 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
 
 
+def ranked(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Rules, those first that win over others."""
+    return sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0]))
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits (then that of the longer host, then the first in
     text order); null if none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules: put keys without exceptions into the listed keys")
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2], r[0]), reverse=True):
+    found = F.when(F.lit(False), F.lit(None).cast("struct<rule:string,verdict:string>"))
+    for verdict, h, p in ranked(rules):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
+        found = found.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict")))
     return found
 
 
@@ -118,24 +124,25 @@ class Cascade:
         return sum(len(x.bits) for x in self.levels)
 
 
-def build_cascade(
-    keys: DataFrame, bits_per_key: float = 10.0, later_bits_per_key: float = 4.0, max_bytes: int = 1 << 20
-) -> Cascade | None:
-    """Builds a cascade from the key universe `keys` (key, listed), one row per key, no null key.
+def first_bits(n_listed: int, n_unlisted: int, least: float = 10.0) -> float:
+    """Bits per key of level 0, so many that it lets no more unlisted keys through than half as many as are listed."""
+    return max(least, math.log2(max(1.0, 2 * n_unlisted / max(1, n_listed))) / math.log(2))
 
-    None if a level would take more than `max_bytes`: what a plan holds as a constant has that proven bound.
-    """
+
+def build_cascade(keys: DataFrame, bits_per_key: float | None = None, later_bits_per_key: float = 4.0) -> Cascade:
+    """Builds a cascade from the key universe `keys` (key, listed), one row per key, no null key. bits_per_key: of level
+    0, by default `first_bits`. Later levels are no larger, since each encodes what the one before let through."""
     sides = {True: keys.where("listed").select("key"), False: keys.where("NOT listed").select("key")}
     levels: list[Level] = []
     encoded, other = sides[True], sides[False]
+    if bits_per_key is None:
+        bits_per_key = first_bits(encoded.count(), other.count())
     while True:
         number, n = len(levels), encoded.count()
         if n == 0:
             return Cascade(levels)
         per_key = later_bits_per_key if number else bits_per_key
         n_bits = max(64, math.ceil(n * per_key))
-        if n_bits / PER_BYTE > max_bytes:
-            return None
         n_hashes = max(1, round(per_key * math.log(2)))
         bits = _bits(encoded, number, n_hashes, n_bits)
         levels.append(Level(number, n_bits, n_hashes, bits))
@@ -158,37 +165,45 @@ def _bits(keys: DataFrame, number: int, n_hashes: int, n_bits: int) -> bytes:
     return bytes(out)
 
 
-def filter_urls(
-    pages: DataFrame,
-    listed: DataFrame,
-    rules: Sequence[tuple[str, str, str]] = RULES,
-    max_bytes: int = 1 << 20,
-) -> DataFrame:
+def _segment(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("segment"), key), F.lit(n))
+
+
+def _of_segment(keys: Column, number: int, n: int) -> Column:
+    return F.filter(keys, lambda k: _segment(k, n) == number) if n > 1 else keys
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, max_bytes: int = 1 << 20) -> DataFrame:
     """Judges every url of `pages` (page_id, url): page_id, host, path, rule, verdict.
 
     listed: a DataFrame whose column `key` holds blocked domains (with their subdomains) or host + path.
     The longest fitting rule decides; without one, a page with a listed key is blocked and any other allowed.
     Null urls and urls without `://` have empty host and path, no rule, and are allowed. Repeated rows are
     judged each. Null or repeated listed keys change nothing. Columns other than page_id and url are ignored.
-    Listed keys that would make a constant of over `max_bytes` are looked up by a shuffled join on the key.
+    max_bytes: of a level's constant. There are as many segments, and passes over the pages, as that asks for.
     """
-    parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    own = parsed.select(F.explode(page_keys(F.col("host"), F.col("path"))).alias("key")).distinct()
-    marked = listed.select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed")).distinct()
-    universe = materialize(own.join(marked, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
-    cascade = build_cascade(universe, max_bytes=max_bytes)
-    rule = matching_rule(F.col("host"), F.col("path"), rules)
-    if cascade:
-        hit = F.exists(page_keys(F.col("host"), F.col("path")), cascade.contains)
-        judged = parsed.withColumn("hit", hit)
-    else:
-        keyed = parsed.select("host", "path").distinct().withColumn("key", F.explode(page_keys(F.col("host"), F.col("path"))))
-        hits = keyed.join(universe.where("listed"), "key", "left_semi").select("host", "path", F.lit(True).alias("hit")).distinct()
-        judged = parsed.join(hits, ["host", "path"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return judged.select(
-        "page_id", "host", "path", rule["rule"].alias("rule"),
-        F.coalesce(rule["verdict"], F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"),
-    )
+    h, p = F.col("host"), F.col("path")
+    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    own = judged.select(F.explode(page_keys(h, p)).alias("key"), F.lit(True).alias("own"), F.lit(False).alias("listed"))
+    marked = listed.where("key IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.lit(False).alias("own"), F.lit(True).alias("listed"))
+    universe = own.unionByName(marked).groupBy("key").agg(F.bool_or("own").alias("own"), F.bool_or("listed").alias("listed"))
+    universe = materialize(universe.where("own").select("key", "listed"), "url-keys")
+    n_listed, n_all = universe.agg(F.count_if("listed"), F.count(F.lit(1))).first()
+    per_key = first_bits(n_listed, n_all - n_listed)
+    segments = max(1, math.ceil(n_listed * per_key / PER_BYTE / max_bytes))
+    judged = judged.withColumns({"found": F.lit(None).cast("struct<rule:string,verdict:string>"), "hit": F.lit(False)})
+    for number in range(segments):
+        mine = universe.where(_segment(F.col("key"), segments) == number)
+        cascade = build_cascade(mine, per_key)
+        keys = _of_segment(page_keys(h, p), number, segments)
+        judged = judged.withColumn("hit", F.col("hit") | F.exists(keys, cascade.contains))
+        judged = materialize(judged, "judged") if segments > 1 else judged
+    order = ranked(rules)
+    for at in range(0, len(order), RULES_AT_ONCE):
+        judged = judged.withColumn("found", F.coalesce("found", matching_rule(h, p, order[at : at + RULES_AT_ONCE])))
+        judged = materialize(judged, "judged") if len(order) > RULES_AT_ONCE else judged
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("hit"), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
