@@ -35,6 +35,10 @@ class Limits:
     loss: int = 2048
 
 
+#: At most three quarters of a sequence bear loss, where half of all tokens do.
+INSTRUCTIONS, LOSS_SHARE = Limits(2048, 256, 1536), 0.5
+
+
 @dataclass
 class Piece:
     doc_id: int | None
@@ -197,5 +201,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     return packed.where(F.col("ids").isNull()).drop("ids").unionByName(merged.drop("ids"))
 
 
+def pack_instructions(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """`pack_documents` for texts whose second half is the answer and bears loss: a sequence takes INSTRUCTIONS."""
+    return pack_documents(docs, tokenizer, INSTRUCTIONS, loss_share=F.lit(LOSS_SHARE))
+
+
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("loss_tokens")
+    return pack_instructions(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

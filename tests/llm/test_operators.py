@@ -473,14 +473,15 @@ def check_packed(rows, sizes, limits):
 
 def test_packing(spark):
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    rows = packing.pack_documents(shared.table(spark, SMALL, "documents"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    rows = packing.op8_packing(spark, SMALL).collect()
     ids = {r.doc_id: whole.encode(r.text, add_special_tokens=False).ids + [1] for r in texts(spark)}
-    by_doc, by_seq = check_packed(rows, map(len, ids.values()), packing.Limits())
+    by_doc, by_seq = check_packed(rows, map(len, ids.values()), packing.INSTRUCTIONS)
     for d, x in by_doc.items():
         x.sort(key=lambda r: r.start)
         assert [r.start for r in x] == list(itertools.accumulate([0] + [r.length for r in x[:-1]])) and x[0].doc_tokens == len(ids[d])
         assert all(r.ids_crc32 == zlib.crc32(np.array(ids[d][r.start : r.start + r.length], "<u4").tobytes()) for r in x)
     assert len(by_seq) <= -(-sum(map(len, ids.values())) // 2048) + 1
+    assert any(sum(r.loss_tokens for r in x) > 1500 for x in by_seq.values())  # the limit binds
 
 
 def test_packing_limits_and_awkward(spark, docs, none):
