@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions import vocabulary as V
@@ -56,6 +56,13 @@ def job_domain(c: Column) -> Column:
     return F.when(t.isin(*V.DOMAIN_MARKERS, "unknown"), t).otherwise(F.coalesce(earlier, first_marked(t, V.DOMAIN_MARKERS, F.lit("unknown"))))
 
 
+def with_domain(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """`rows` with the job domain of a text column, found once for each distinct text; null texts have `unknown`."""
+    known = rows.select(F.col(text).alias("__text")).distinct().select("__text", job_domain(F.col("__text")).alias("__domain"))
+    out = rows.join(known, rows[text] == known["__text"], "left").withColumn(name, F.coalesce("__domain", F.lit("unknown")))
+    return out.drop("__text", "__domain")
+
+
 def degree_level(c: Column) -> Column:
     t = F.lower(strip(c))
     return F.when(t.isin(*V.DEGREE_RANK), t).otherwise(first_marked(t, V.DEGREE_MARKERS, F.lit("unknown")))
@@ -81,10 +88,7 @@ def seniority_of_years(years: Column) -> Column:
 
 
 def seniority_rank(level: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for name, rank in V.SENIORITY_RANK.items():
-        out = F.when(level == name, rank).otherwise(out)
-    return out
+    return F.create_map(*(F.lit(x) for item in V.SENIORITY_RANK.items() for x in item))[level]
 
 
 def employment_type(c: Column) -> Column:
@@ -200,4 +204,4 @@ def domain_affinity(a: Column, b: Column) -> Column:
 
 def seniority_affinity(a: Column, b: Column) -> Column:
     d = F.abs(seniority_rank(a) - seniority_rank(b))
-    return F.when(d == 0, 1.0).when(d == 1, 0.7).when(d == 2, 0.4).otherwise(0.0)
+    return F.coalesce(F.get(F.array(F.lit(1.0), F.lit(0.7), F.lit(0.4)), d), F.lit(0.0))

@@ -102,3 +102,66 @@ WEIGHTS = {"cosine": 0.70, "skill": 0.15, "domain": 0.10, "seniority": 0.05}
 REQUIRED_WEIGHT, PREFERRED_WEIGHT = 0.7, 0.3
 EXPERIENCE_STEP, EXPERIENCE_MOST, EDUCATION_STEP, EDUCATION_MOST = 0.04, 0.12, 0.08, 0.08
 TOP_K, TOP_N, MIN_COSINE = 200, 50, 0.48
+
+# Words for regions, which name no country.
+REGION_WORDS = (
+    "remote", "global", "europe", "eu", "asia", "apac", "emea", "latam", "america", "americas", "north america",
+    "south america", "africa", "anywhere",
+)
+
+# Codes of US states and Canadian provinces, which in a place text may mean these or a country.
+AMBIGUOUS_ALPHA2 = (
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV",
+    "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "PR",
+    "AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT",
+)
+EXCEPTIONAL_ALPHA2 = {"UK": "GB"}
+
+# Words that mark a line about education.
+DEGREE_CONTEXT = (
+    "degree", "bachelor", "master", "phd", "doctorate", "associate", "diploma", "undergraduate", "education",
+    "qualification", "university", "college", "tertiary", "post-secondary", "4-year",
+)
+
+# What of a line about education tells a level, as substrings and as patterns.
+DEGREE_LINE_MARKERS = {
+    "associate": ("associate degree", "community college", "advanced diploma", "post-secondary diploma", "diploma"),
+    "bachelor": ("bachelor", "b.a", "ba ", "b.s", "bs ", "undergraduate"),
+    "master": ("master", "m.s", "ms ", "m.sc", "msc", "mba", "m.a", "ma "),
+    "doctorate": ("doctorate", "doctoral", "phd", "ph.d", "m.d", "md ", "juris doctor"),
+}
+NO_DEGREE = r"(?i)\b(no degree|degree not required|no formal education|equivalent experience|experience in lieu of degree|degree optional)\b"
+DEGREE_LINE_PATTERNS = {
+    "bachelor": r"(?i)\b(bs/ms|ba/bs|bs/ba|bsc|b\.sc|4[-\s]?year degree|university degree|college degree|tertiary qualification|post[-\s]?secondary (?:education|qualification))\b",
+    "master": r"(?i)\b(msc|m\.sc|meng|m\.eng|mba)\b",
+}
+BACHELOR_OR_MASTER = r"(?i)\b(?:ba|b\.a|bs|b\.s|bsc|b\.sc)\s*/\s*(?:ms|m\.s|msc|m\.sc|mba|meng|m\.eng)\b"
+
+# Headings of a posting's sections, the first that fits holds; and which sections are kept, with how many lines.
+SECTION_HEADINGS = {
+    "role_summary": "the role|role overview|position summary|job summary|about the role|about this role|about the team|the opportunity",
+    "responsibilities": "what you'll do|what you will do|responsibilities|your responsibilities|what you'll own|what you'll work on|key responsibilities",
+    "requirements": "requirements|qualifications|minimum qualifications|basic qualifications|must have|must-have|what you bring|about you|who you are|what we're looking for|what we are looking for",
+    "preferred": "nice to have|preferred qualifications|bonus points|preferred|good to have",
+    "company": "about(?: .+)?|about us|about the company|who we are|company overview|company description",
+    "benefits": "benefits|perks|why join us|what we offer|compensation|our benefits",
+    "work_auth": "work authorization|visa|sponsorship|employment eligibility",
+    "legal": "eeo statement|equal opportunity|privacy notice|legal notice",
+    "apply": "how to apply|application process|interview process|next steps",
+}
+SECTION_LINES = {"role_summary": 2, "responsibilities": 5, "requirements": 5, "preferred": 2, "body": 3}
+SECTION_TITLES = {
+    "role_summary": "Role summary", "responsibilities": "Core responsibilities", "requirements": "Must-have evidence",
+    "preferred": "Optional context", "body": "Additional role context",
+}
+DROPPED_LINES = (
+    "equal opportunity employer", "equal opportunities employer", "all qualified applicants", "candidate privacy", "privacy notice", "visa sponsorship", "work authorization",
+    "submit your application", "apply through", "medical, dental, and vision", "private health insurance", "disability insurance", "paid sick leave", "vacation days",
+    "parental leave", r"401\(k\)", "commuter benefit", "quarterly offsites", "company social events", "inclusive workplace",
+)
+DOMAIN_HINTS = {
+    "cybersecurity": ("fraud", "risk", "security", "abuse", "trust", "threat"),
+    "software_engineering": ("backend", "platform", "api", "distributed systems", "service"),
+    "data_ai": ("machine learning", "model", "analytics", "feature", "inference"),
+}
+ACTION_WORDS, ABILITY_WORDS = ("build", "design", "improve", "partner", "mentor"), ("experience", "strong", "ability", "familiarity")

@@ -41,5 +41,8 @@ def refresh(stale: DataFrame, embed: Callable[[list[str]], list[list[float]]], p
 
 
 def upsert(held: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace held ones of the same key; the rest stays."""
+    """New rows replace held ones of the same key, but for created_at, which stays; the rest stays."""
+    if "created_at" in held.columns and "created_at" in new.columns:
+        first = held.select(*key, F.col("created_at").alias("__first"))
+        new = new.join(first, key, "left").withColumn("created_at", F.coalesce("__first", "created_at")).drop("__first")
     return held.join(new, key, "left_anti").unionByName(new)

@@ -3,43 +3,96 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions import vocabulary as V
 
-BLOCK_CANDIDATES, BLOCK_JOBS = 1024, 16384
+#: Candidates that go to every task together, by their vectors' size; and their bytes.
+BLOCK_BYTES = 16_000_000
 
 
-def top_k(candidates: DataFrame, vectors: DataFrame, k: int = V.TOP_K, digits: int = 6) -> DataFrame:
-    """(candidate_id, job_id, cosine_score, rank) of the k nearest of `vectors` (job_id, embedding) to each of
-    `candidates` (candidate_id, embedding), exact.
+def _unit(vectors: pa.ListArray) -> np.ndarray:
+    """Unit vectors as rows of a matrix; every one has as many numbers."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+
+
+def eligible(sponsorship: np.ndarray, degree: np.ndarray, needs: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which jobs (columns) may be shown to which candidates (rows): without a sponsorship bar for who needs it, and
+    within the degree of who has one. sponsorship: 1 if it is known to be no bar."""
+    return (~needs[:, None] | sponsorship[None, :]) & ((rank[:, None] < 0) | (degree[None, :] <= rank[:, None]))
 
-    Blocks of candidates meet blocks of vectors, one pair of blocks to a task: a matrix product and the best k of
-    it for each candidate, then the best k over all blocks. Scores are rounded before ranking; ties by job_id.
+
+def top_k(candidates: DataFrame, vectors: DataFrame, k: int = V.TOP_K, digits: int = 6) -> DataFrame:
+    """(candidate_id, job_id, cosine_score, rank) of the k nearest of `vectors` (job_id, embedding, ...) to each of
+    `candidates` (candidate_id, embedding, ...), exact.
+
+    Of jobs that a candidate may not be shown (`eligible`, by needs_sponsorship and user_degree_rank of candidates,
+    sponsorship_not_available and min_degree_rank of vectors; what is not there bars nothing) none is counted, so k
+    eligible ones are found. Vectors stay where they are: blocks of candidates of at most BLOCK_BYTES are sent to their
+    tasks one after the other, each task keeps its best k, and the best of these are kept of all. Rows without a vector,
+    or of another length than the candidates', are left out. Scores are rounded before ranking; ties by job_id.
     """
-    n_c = max(1, -(-candidates.count() // BLOCK_CANDIDATES))
-    n_v = max(1, -(-vectors.count() // BLOCK_JOBS))
-    c = candidates.select("candidate_id", "embedding", F.pmod(F.xxhash64("candidate_id"), F.lit(n_c)).alias("cb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-    v = vectors.select("job_id", "embedding", F.pmod(F.xxhash64("job_id"), F.lit(n_v)).cast("int").alias("vb")).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"candidate_id": [], "job_id": [], "cosine_score": []})
-        x, y = (np.stack(f["embedding"].to_list()).astype(np.float64) for f in (a, b))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        score, ids = np.round(x @ y.T, digits), b["job_id"].to_numpy()
-        out = []
-        for i, row in enumerate(score):
-            at = np.lexsort((ids, -row))[:k]
-            out.append(pd.DataFrame({"candidate_id": a["candidate_id"].iloc[i], "job_id": ids[at], "cosine_score": row[at]}))
-        return pd.concat(out)
-
-    near = c.groupBy("cb", "vb").cogroup(v.groupBy("cb", "vb")).applyInPandas(best, "candidate_id long, job_id long, cosine_score double")
-    rank = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("cosine_score"), "job_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    with_rules = {"needs_sponsorship", "user_degree_rank"} <= set(candidates.columns) and {"sponsorship_not_available", "min_degree_rank"} <= set(vectors.columns)
+    needs, rank = (F.coalesce("needs_sponsorship", F.lit(False)), F.coalesce("user_degree_rank", F.lit(-1)).cast("int")) if with_rules else (F.lit(False), F.lit(-1))
+    bar, degree = (F.coalesce(F.col("sponsorship_not_available") != "yes", F.lit(False)), F.coalesce("min_degree_rank", F.lit(-1)).cast("int")) if with_rules else (F.lit(True), F.lit(-1))
+    asked = candidates.where("embedding IS NOT NULL").select("candidate_id", "embedding", needs.alias("needs"), rank.alias("rank"))
+    dims = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    dim = dims["dim"] or 0
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    v = vectors.where((F.size("embedding") == dim) & whole).select("job_id", "embedding", bar.alias("open"), degree.alias("degree"))
+    asked = asked.where((F.size("embedding") == dim) & whole)
+    blocks = max(1, -(-dims["n"] * (dim * 8 + 64) // BLOCK_BYTES))
+    kind = "candidate_id long, job_id long, cosine_score double"
+    near = None
+    for number in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)) == number).toArrow().combine_chunks()  # of a proven size
+        part = v.mapInArrow(_searcher(mine, k, digits), kind)
+        near = part if near is None else near.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("cosine_score"), "job_id"))
+    return near.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _searcher(asked: pa.Table, k: int, digits: int):
+    schema = pa.schema([("candidate_id", pa.int64()), ("job_id", pa.int64()), ("cosine_score", pa.float64())])
+
+    def run(batches):
+        if not len(asked):
+            return
+        column = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
+        ids, needs, ranks = (column(asked, c).to_numpy(zero_copy_only=False) for c in ("candidate_id", "needs", "rank"))
+        x = _unit(column(asked, "embedding"))
+        best_ids, best = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            jobs, open_, degree = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("job_id", "open", "degree"))
+            score = np.round(x @ _unit(batch.column("embedding")).T, digits)
+            score = np.where(eligible(open_.astype(bool), degree, needs.astype(bool), ranks), score, -np.inf)
+            best = np.concatenate((best, score), axis=1)
+            best_ids = np.concatenate((best_ids, np.broadcast_to(jobs, score.shape)), axis=1)
+            if best.shape[1] > k:
+                at = np.lexsort((best_ids, -best), axis=1)[:, :k]
+                best, best_ids = np.take_along_axis(best, at, 1), np.take_along_axis(best_ids, at, 1)
+        row, col = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(best_ids[row, col]), pa.array(best[row, col])], schema=schema)
+
+    return run
+
+
+def recall(candidates: DataFrame, jobs: DataFrame, embeddings: DataFrame, k: int = V.TOP_K, version: int = 3, countries: DataFrame | None = None) -> DataFrame:
+    """Pairs (candidate_id, job_id, cosine_score, rank) of candidates and the k nearest eligible jobs.
+
+    Only `jobs` with structured_jd_version of at least `version`, an embedding in `embeddings` (job_id, embedding; of
+    the active target) and, if `countries` (job_id) is given, a place there take part.
+    """
+    live = jobs.where(F.coalesce("structured_jd_version", F.lit(0)) >= version)
+    if countries is not None:
+        live = live.join(countries, "job_id", "left_semi")
+    return top_k(candidates, live.select("job_id", "sponsorship_not_available", "min_degree_rank").join(embeddings.select("job_id", "embedding"), "job_id"), k)
 
 
 def prefilter(pairs: DataFrame) -> DataFrame:
@@ -49,6 +102,20 @@ def prefilter(pairs: DataFrame) -> DataFrame:
     return pairs.where(~bar & degree)
 
 
+def match(candidates: DataFrame, jobs: DataFrame, embeddings: DataFrame, minimum: float = V.MIN_COSINE, k: int = V.TOP_K, top_n: int = V.TOP_N, max_gap: int = 1, digits: int = 6) -> DataFrame:
+    """The best `top_n` jobs of each candidate, from recall to rerank.
+
+    candidates: candidate_id, embedding, needs_sponsorship, user_degree_rank, user_years, user_skills, user_domain,
+    user_seniority. jobs: job_id, title, sponsorship_not_available, min_degree_rank, jd_experience_years, job_domain,
+    required_skills, preferred_skills, structured_jd_version and, if it is known, seniority_level. Eligibility comes
+    before the k nearest, then the threshold, the gap in experience, the weighted score.
+    """
+    pairs = recall(candidates, jobs, embeddings, k).where(F.col("cosine_score") >= minimum)
+    full = pairs.join(jobs, "job_id").join(candidates.drop("embedding"), "candidate_id")
+    hard = reject_reasons(full.withColumns({"needs_sponsorship": F.lit(False), "__rank": F.col("user_degree_rank"), "user_degree_rank": F.lit(-1)}), max_gap)
+    return rerank(hard.where(F.size("reasons") == 0).withColumn("user_degree_rank", F.col("__rank")).drop("__rank", "reasons"), top_n, digits)
+
+
 def reject_reasons(pairs: DataFrame, max_gap: int = 1) -> DataFrame:
     """`pairs` with `reasons`: sponsorship, degree, experience; unknown values pass."""
     if max_gap < 0:
@@ -73,28 +140,39 @@ def rerank(pairs: DataFrame, top_n: int = V.TOP_N, digits: int = 6) -> DataFrame
     required_skills, preferred_skills, user_years, user_degree_rank, user_skills, user_domain, user_seniority.
     """
     level = N.seniority(F.col("title"), F.col("jd_experience_years"))
+    if "seniority_level" in pairs.columns:
+        level = F.coalesce(N.clean(F.col("seniority_level")), level)
+    pairs = pairs.withColumn("__level", level)
     gap = F.greatest(F.lit(0), F.coalesce(F.col("jd_experience_years") - F.col("user_years"), F.lit(0)))
     education = F.greatest(F.lit(0), F.coalesce("min_degree_rank", F.lit(-1)) - F.col("user_degree_rank"))
     scored = (
         pairs.withColumn("skill_overlap_score", N.skill_overlap(F.col("user_skills"), F.col("required_skills"), F.col("preferred_skills")))
         .withColumn("domain_match_score", N.domain_affinity(F.col("user_domain"), F.col("job_domain")))
-        .withColumn("seniority_match_score", N.seniority_affinity(F.col("user_seniority"), level))
+        .withColumn("seniority_match_score", N.seniority_affinity(F.col("user_seniority"), F.col("__level")))
+        .withColumns({"experience_gap": gap, "education_gap": education})
         .withColumn("experience_penalty", F.least(F.lit(V.EXPERIENCE_MOST), gap * V.EXPERIENCE_STEP))
         .withColumn("education_penalty", F.least(F.lit(V.EDUCATION_MOST), education * V.EDUCATION_STEP))
     )
-    w = V.WEIGHTS
-    final = w["cosine"] * F.col("cosine_score") + w["skill"] * F.col("skill_overlap_score") + w["domain"] * F.col("domain_match_score") + w["seniority"] * F.col("seniority_match_score") - F.col("experience_penalty") - F.col("education_penalty")
-    scored = scored.withColumn("final_score", F.round(final, digits))
+    parts = {"cosine": "cosine_score", "skill": "skill_overlap_score", "domain": "domain_match_score", "seniority": "seniority_match_score"}
+    parts = {name: F.lit(V.WEIGHTS[name]) * F.col(c) for name, c in parts.items()}
+    lost = F.col("experience_penalty") + F.col("education_penalty")
+    final = parts["cosine"] + parts["skill"] + parts["domain"] + parts["seniority"] - F.col("experience_penalty") - F.col("education_penalty")
+    scored = scored.withColumns({
+        "final_score": F.bround(final, digits),
+        "score_breakdown": F.struct(*(F.bround(x, digits).alias(f"{name}_component") for name, x in parts.items())),
+        "penalties": F.struct(F.bround("experience_penalty", digits).alias("experience_penalty"), F.bround("education_penalty", digits).alias("education_penalty"), F.bround(lost, digits).alias("total_penalty")),
+    })
     place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("final_score"), "rank"))
-    return scored.withColumn("place", place).where(F.col("place") <= top_n)
+    return scored.withColumn("place", place).where(F.col("place") <= top_n).drop("__level")
 
 
 def domain_vote(votes: DataFrame, by: str) -> DataFrame:
     """(by, domain) with most weight in `votes` (by, ordinal, weight, domain); ties go to the earliest; `unknown`
     votes don't count, and decide only where there is no other."""
-    known = votes.where(F.col("domain") != "unknown").groupBy(by, "domain").agg(F.sum("weight").alias("w"), F.min("ordinal").alias("first"))
-    best = known.groupBy(by).agg(F.max_by("domain", F.struct("w", -F.col("first"))).alias("domain"))
-    return votes.select(by).distinct().join(best, by, "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    known = F.col("domain") != "unknown"
+    each = votes.groupBy(by, "domain").agg(F.sum("weight").alias("w"), F.min("ordinal").alias("first"))
+    order = F.struct(F.col("w").cast("double").alias("a"), (-F.col("first")).alias("b"))
+    return each.groupBy(by).agg(F.coalesce(F.max_by(F.when(known, F.col("domain")), F.when(known, order)), F.lit("unknown")).alias("domain"))
 
 
 #: What a label adds to a score.
@@ -110,9 +188,9 @@ def cosine_threshold(pairs: DataFrame, minimum: float) -> tuple[DataFrame, DataF
     return pairs.where(passed), counts
 
 
-def label_rerank(ranked: DataFrame, labels: DataFrame, window: int) -> DataFrame:
-    """`ranked` (candidate_id, job_id, final_score, rank, ...) with label, adjustment, adjusted_score, enriched and
-    place. Labels (candidate_id, job_id, label; one each) count for the first `window` ranks, which are sorted anew by
+def label_rerank(ranked: DataFrame, labels: DataFrame, window: int, digits: int = 6) -> DataFrame:
+    """`ranked` (candidate_id, job_id, final_score, rank, ...) with label, adjustment, adjusted_score, enriched,
+    place and reorder_applied, which tells whether any of the candidate's rows changed places. Labels (candidate_id, job_id, label; one each) count for the first `window` ranks, which are sorted anew by
     adjusted and final score; the tail keeps its places. A row without a label keeps its score."""
     got = ranked.join(labels.select("candidate_id", "job_id", F.col("label").alias("__label")), ["candidate_id", "job_id"], "left")
     inside = F.col("rank") <= window
@@ -121,6 +199,8 @@ def label_rerank(ranked: DataFrame, labels: DataFrame, window: int) -> DataFrame
     for name, value in LABEL_ADJUSTMENT.items():
         added = F.when(F.col("label") == name, value).otherwise(added)
     got = got.withColumn("label", label).drop("__label").withColumn("adjustment", added)
-    got = got.withColumn("adjusted_score", F.round(F.col("final_score") + F.col("adjustment"), 6)).withColumn("enriched", F.col("label").isNotNull())
+    got = got.withColumn("adjusted_score", F.bround(F.col("final_score") + F.col("adjustment"), digits)).withColumn("enriched", F.col("label").isNotNull())
     order = [(~inside).cast("int"), F.when(inside, -F.col("adjusted_score")), F.when(inside, -F.col("final_score")), F.col("rank")]
-    return got.withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*order)))
+    placed = got.withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*order)))
+    # a candidate has at most top_n ranked rows
+    return placed.withColumn("reorder_applied", F.bool_or(F.col("place") != F.col("rank")).over(Window.partitionBy("candidate_id")))

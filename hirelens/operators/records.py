@@ -52,11 +52,15 @@ def insert_absent(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return held.unionByName(new.dropDuplicates([key]).join(held, key, "left_anti").select(*held.columns))
 
 
-def nested(rows: DataFrame, by: str, order: list, fields: list[str], name: str) -> DataFrame:
-    """Rows of each group as an array of structs, in the order of `order` (columns or expressions)."""
+def nested(rows: DataFrame, by: str, order: list, fields: list[str], name: str, parents: DataFrame | None = None) -> DataFrame:
+    """Rows of each group as an array of structs, in the order of `order` (columns or expressions); for parents that have
+    few rows each. With `parents` (by), those without rows have an empty array."""
     keys = [F.expr(o).alias(f"__{i}") for i, o in enumerate(order)]
     gathered = F.array_sort(F.collect_list(F.struct(*keys, *fields)))
-    return rows.groupBy(by).agg(F.transform(gathered, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+    made = rows.groupBy(by).agg(F.transform(gathered, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+    if parents is None:
+        return made
+    return parents.join(made, by, "left").withColumn(name, F.coalesce(name, F.array().cast(made.schema[name].dataType)))
 
 
 def offload(rows: DataFrame, text: str, prefix: str, held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +96,10 @@ def align_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def pending_parse(rows: DataFrame, version: int, version_only: bool = False, exclude: DataFrame | None = None) -> DataFrame:
-    """Rows with content (description_plain or description_html_key) whose structured_version is below `version`, or
-    absent unless version_only; not those whose job_id is in `exclude`."""
-    old = F.coalesce(F.col("structured_version") < version, F.lit(not version_only))
+    """Rows with content (description_plain or description_html_key) that have no structured_jd (unless version_only)
+    or one of a structured_version below `version`; not those whose job_id is in `exclude`. One without a version is left
+    alone."""
+    old = F.coalesce(F.col("structured_version") < version, F.lit(False))
+    old = F.when(F.col("structured_jd").isNull(), F.lit(not version_only)).otherwise(old)
     left = rows.where((F.col("description_plain").isNotNull() | F.col("description_html_key").isNotNull()) & old)
     return left if exclude is None else left.join(exclude.select("job_id"), "job_id", "left_anti")

@@ -9,9 +9,11 @@ KEY = ("source_id", "external_job_id")
 
 
 def last_wins(rows: DataFrame, key: tuple[str, ...] = KEY, seq: str = "seq") -> DataFrame:
-    """One row per key: the values of the last `seq`, with `first_seq`, the place of the first."""
+    """One row per key: the values of the last `seq`, with `first_seq`, the place of the first. A null `seq` comes before
+    all others; rows of equal `seq` are told apart by a hash of their values."""
     rest = [c for c in rows.columns if c not in key]
-    last = F.max_by(F.struct(*rest), seq).alias("last")  # max_by merges before the shuffle; no window, no sort
+    order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("seq"), F.xxhash64(*rest).alias("tie"))
+    last = F.max_by(F.struct(*rest), order).alias("last")  # merged before the shuffle, without a window
     return rows.groupBy(*key).agg(last, F.min(seq).alias("first_seq")).select(*key, *(f"last.{c}" for c in rest), "first_seq")
 
 
@@ -45,11 +47,19 @@ def reconcile(existing: DataFrame, snapshot: DataFrame, ts: Column, payload: lis
     )
 
 
-def snapshot_stats(fetched: DataFrame, reconciled: DataFrame) -> DataFrame:
-    """Per source: fetched rows, unique keys, deduped, inserted, updated, closed."""
-    a = fetched.groupBy("source_id").agg(F.count(F.lit(1)).alias("fetched"), F.count_distinct("external_job_id").alias("unique_rows"))
+def snapshot_stats(fetched: DataFrame, reconciled: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Per source, and in all (source_id null): fetched rows, mapped (with an external id), unique keys, deduped, inserted,
+    updated, closed, and failed: of a source in `errors` (source_id) as many rows as were met, one at least."""
+    a = fetched.groupBy("source_id").agg(F.count(F.lit(1)).alias("fetched"), F.count("external_job_id").alias("mapped"), F.count_distinct("external_job_id").alias("unique_rows"))
     b = reconciled.groupBy("source_id").agg(*(F.count_if(F.col("action") == x).alias(y) for x, y in (("insert", "inserted"), ("update", "updated"), ("close", "closed"))))
-    return a.withColumn("deduped", F.col("fetched") - F.col("unique_rows")).join(b, "source_id", "left")
+    met = a.withColumn("deduped", F.col("mapped") - F.col("unique_rows")).join(b, "source_id", "left")
+    if errors is not None:
+        met = met.join(errors.select("source_id").distinct().withColumn("__error", F.lit(True)), "source_id", "full")
+    else:
+        met = met.withColumn("__error", F.lit(None).cast("boolean"))
+    failed = F.when(F.col("__error"), F.greatest(F.coalesce("unique_rows", F.lit(0)), F.coalesce("mapped", F.lit(0)), F.coalesce("fetched", F.lit(0)), F.lit(1))).otherwise(0)
+    names = ["fetched", "mapped", "unique_rows", "deduped", "inserted", "updated", "closed"]
+    return met.withColumn("failed", failed.cast("long")).rollup("source_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*names, "failed"]))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

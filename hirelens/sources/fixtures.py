@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Accepted unchanged by Spark SQL and DuckDB.
@@ -31,6 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as a table in the shared folder and read again, so that its uses don't compute it anew."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(JOBS, orders=table(spark, sf_dir, "orders"))
 
