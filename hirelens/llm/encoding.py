@@ -47,7 +47,7 @@ class ChunkEncoder:
     are forgotten unless they were met again since.
     """
 
-    def __init__(self, path: str, leading_space: bool, max_words: int = 700_000):
+    def __init__(self, path: str, leading_space: bool, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

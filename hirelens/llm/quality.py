@@ -97,7 +97,7 @@ class Fertility:
     """Measures texts with a byte-fallback vocabulary. Words recur, so each distinct one is encoded once; the
     memory for them is emptied at `max_words`."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import sentencepiece
 
         self.vocabulary = sentencepiece.SentencePieceProcessor(model_file=path)
