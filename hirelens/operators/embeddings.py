@@ -17,6 +17,21 @@ def with_freshness(jobs: DataFrame, held: DataFrame) -> DataFrame:
     return jobs.join(h, "job_id", "left").withColumn("state", state).drop("__held", "__hit")
 
 
+def to_embed(jobs: DataFrame, held: DataFrame, source_id: str | None = None, structured_version: int | None = None, force: bool = False) -> DataFrame:
+    """Those of `jobs` (job_id, description, content_fingerprint; source_id and status; structured_jd and
+    structured_jd_version) that need an embedding of the target of `held`: they have a description and are missing or
+    stale, or with `force` in any state.
+
+    source_id: only open jobs of this source. structured_version: only jobs parsed at this version or a later one.
+    """
+    rows = jobs.where("description IS NOT NULL")
+    if source_id is not None:
+        rows = rows.where((F.col("source_id") == source_id) & (F.col("status") == "open"))
+    if structured_version is not None:
+        rows = rows.where(F.col("structured_jd").isNotNull() & (F.coalesce("structured_jd_version", F.lit(0)) >= structured_version))
+    return rows if force else with_freshness(rows, held).where("state <> 'fresh'").drop("state")
+
+
 def freshness_counts(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count_if(F.col("state") == "fresh").alias("fresh"), F.count_if(F.col("state") == "stale").alias("stale"), F.count_if(F.col("state") == "missing").alias("missing"), F.count_if(F.col("content_fingerprint").isNull()).alias("without_fingerprint"))
 

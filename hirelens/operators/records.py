@@ -15,6 +15,15 @@ def request_metrics(log: DataFrame) -> DataFrame:
     return log.rollup("route").agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("errors"), F.round(F.avg("duration"), 4).alias("avg_duration"), F.max("duration").alias("max_duration"))
 
 
+def status_histogram(log: DataFrame) -> DataFrame:
+    """(route, statuses) per route and overall (route null) of `log` (route, status): requests by status, as a map. Counted
+    by route and status first, so a group holds one row a status; requests without a status have no place in it."""
+    counts = log.where("status IS NOT NULL").groupBy("route", "status").agg(F.count(F.lit(1)).alias("n"))
+    overall = counts.groupBy("status").agg(F.sum("n").alias("n")).select(F.lit(None).cast(log.schema["route"].dataType).alias("route"), "status", "n")
+    both = counts.where("route IS NOT NULL").unionByName(overall)
+    return both.groupBy("route").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))
+
+
 def usage_totals(usage: DataFrame, by: str, measures: list[str]) -> DataFrame:
     return usage.rollup(by).agg(*(F.sum(m).alias(m) for m in measures))
 

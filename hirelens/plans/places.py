@@ -31,15 +31,24 @@ _TEXTS = """SELECT DISTINCT CASE o_orderkey % 8 WHEN 0 THEN concat('Land ', chr(
 _amb = ", ".join(f"'{x}'" for x in V.AMBIGUOUS_ALPHA2)
 
 
-@query(f"""{DIMS}, t AS ({_TEXTS.format(orders="orders", customer="customer", nation="nation")}),
-  terms AS (SELECT DISTINCT code, lower(unnest([code, iso3, fips, name, replace(name, ' ', '')])) AS term FROM co),
+def _countries_sql(fips: str) -> str:
+    return f"""{DIMS}, t AS ({_TEXTS.format(orders="orders", customer="customer", nation="nation")}),
+  terms AS (SELECT DISTINCT code, lower(unnest([code, iso3, {fips} name, replace(name, ' ', '')])) AS term FROM co),
   f AS (SELECT t.*, (SELECT list(DISTINCT code ORDER BY code) FROM terms WHERE term = trim(lower(t.text)) OR term = replace(trim(lower(t.text)), ' ', '')) AS codes,
     CASE WHEN k = 5 THEN (SELECT list(DISTINCT code ORDER BY code) FROM co WHERE name IN (place, 'Land A')) END AS pair FROM t)
   SELECT DISTINCT text, explicit, CASE WHEN k = 4 OR (NOT explicit AND upper(text) IN ({_amb})) THEN NULL WHEN k = 6 THEN 'GB' WHEN k = 5 THEN CASE WHEN explicit AND len(pair) = 1 THEN pair[1] END WHEN len(codes) = 1 THEN codes[1] END AS country_code,
-    CASE WHEN k = 4 OR (NOT explicit AND upper(text) IN ({_amb})) THEN true WHEN k = 5 THEN explicit AND len(pair) > 1 WHEN k = 6 THEN false ELSE coalesce(len(codes), 0) > 1 END AS is_ambiguous FROM f""")
-def o62_countries(spark, sf_dir):
+    CASE WHEN k = 4 OR (NOT explicit AND upper(text) IN ({_amb})) THEN true WHEN k = 5 THEN explicit AND len(pair) > 1 WHEN k = 6 THEN false ELSE coalesce(len(codes), 0) > 1 END AS is_ambiguous FROM f"""
+
+
+@query(_countries_sql("fips,"))
+def o62_countries(spark, sf_dir, use_fips=True):
     texts = spark.sql(_TEXTS, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"), nation=table(spark, sf_dir, "nation"))
-    return L.resolve_countries(texts, dims(spark, sf_dir)[0]).select("text", "explicit", "country_code", "is_ambiguous")
+    return L.resolve_countries(texts, dims(spark, sf_dir)[0], use_fips).select("text", "explicit", "country_code", "is_ambiguous")
+
+
+@query(_countries_sql(""))
+def o62_countries_without_fips(spark, sf_dir):
+    return o62_countries(spark, sf_dir, use_fips=False)
 
 
 @query(f"{DIMS} SELECT c_custkey, v IN (SELECT lower(code) FROM co) AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'q' || chr(97 + c_nationkey) WHEN 1 THEN 'qz' WHEN 2 THEN 'qaa' ELSE '' END AS v FROM customer)")

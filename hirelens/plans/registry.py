@@ -224,6 +224,14 @@ def o72_request_metrics(spark, sf_dir):
     return R.request_metrics(log)
 
 
+@query("""WITH c AS (SELECT event_type AS route, CAST(200 + event_id % 7 * 50 AS VARCHAR) AS status, count(*) AS n FROM events WHERE event_id % 11 <> 0 GROUP BY 1, 2),
+  b AS (SELECT * FROM c UNION ALL SELECT NULL, status, sum(n) FROM c GROUP BY 2) SELECT route, string_agg(status || ':' || CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY status) AS statuses FROM b GROUP BY 1""")
+def o72_status_histogram(spark, sf_dir):
+    status = F.when(F.col("event_id") % 11 != 0, (200 + F.col("event_id") % 7 * 50).cast("string"))
+    made = R.status_histogram(table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), status.alias("status")))
+    return made.select("route", F.array_join(F.transform(F.map_entries("statuses"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias("statuses"))
+
+
 @query("SELECT event_type AS model, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS tokens FROM events GROUP BY ROLLUP (event_type)")
 def o73_token_usage(spark, sf_dir):
     usage = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.lit(1).alias("calls"), F.col("event_id").alias("tokens"))
@@ -434,4 +442,4 @@ def o76_label_rerank(spark, sf_dir):
     return M.label_rerank(ranked, labels, 20, digits=8).select("candidate_id", "job_id", "label", "adjusted_score", "place", "reorder_applied")
 
 
-from hirelens.plans import ingest, parsing, places, upkeep  # noqa: E402, F401  (their queries register themselves)
+from hirelens.plans import files, ingest, parsing, places, upkeep  # noqa: E402, F401  (their queries register themselves)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
@@ -130,6 +132,24 @@ def o59b_fresh_ids(spark, sf_dir):
     return G.fresh_ids(batch, G.active_target(held, TARGET), TARGET)
 
 
+_EMBEDDABLE = """SELECT job_id, CASE WHEN job_id % 13 <> 0 THEN description_plain END AS description, CASE job_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'g' END AS content_fingerprint, source_id, status,
+  CASE WHEN job_id % 7 <> 0 THEN '{}' END AS structured_jd, CASE WHEN job_id % 5 <> 0 THEN job_id % 5 END AS structured_jd_version FROM j"""
+_STALE = "description IS NOT NULL AND (hit IS NULL OR fp IS DISTINCT FROM content_fingerprint)"
+
+
+@query(f"""WITH {J}, e AS ({_EMBEDDABLE}), h AS (SELECT vec_id AS job_id, CASE WHEN vec_id % 4 <> 0 THEN 'f' END AS fp, 1 AS hit FROM embeddings), m AS (SELECT * FROM e LEFT JOIN h USING (job_id))
+  SELECT 'all' AS variant, job_id FROM m WHERE {_STALE} UNION ALL SELECT 'forced', job_id FROM m WHERE description IS NOT NULL
+  UNION ALL SELECT 'structured', job_id FROM m WHERE {_STALE} AND structured_jd IS NOT NULL AND coalesce(structured_jd_version, 0) >= 3
+  UNION ALL SELECT 'source', job_id FROM m WHERE {_STALE} AND source_id = 'src3' AND status = 'open'""")
+def o59_to_embed(spark, sf_dir):
+    """All that need an embedding, and by force, of parsed jobs only, and of one source's open jobs."""
+    rows = spark.sql(_EMBEDDABLE.replace("FROM j", "FROM {j}").replace("'{}'", "'{{}}'"), j=jobs(spark, sf_dir))
+    k = F.col("vec_id")
+    held = table(spark, sf_dir, "embeddings").select(k.alias("job_id"), F.when(k % 4 != 0, "f").alias("content_fingerprint"))
+    variants = {"all": {}, "forced": {"force": True}, "structured": {"structured_version": 3}, "source": {"source_id": "src3"}}
+    return reduce(DataFrame.unionByName, (E.to_embed(rows, held, **how).select(F.lit(name).alias("variant"), "job_id") for name, how in variants.items()))
+
+
 @query("SELECT vec_id AS job_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS origin FROM embeddings")
 def o88_refresh_upsert(spark, sf_dir):
     """Stale rows are embedded anew by a stand-in, in bounded batches; created_at stays."""

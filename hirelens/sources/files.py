@@ -27,7 +27,7 @@ PROFILE = (
 def _tab_fields(spark: SparkSession, path: str, least: int) -> DataFrame:
     """Lines with `least` tab-separated fields at least, as an array `f`; comments and blank lines are left out."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    return lines.select(F.transform(F.split("value", "\t"), F.trim).alias("f")).where(F.size("f") >= least)
+    return lines.select(F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("f")).where(F.size("f") >= least)
 
 
 def scan_countries(spark: SparkSession, path: str) -> DataFrame:
@@ -86,14 +86,15 @@ def scan_skills(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(profiles, rejected lines) of JSON lines with camelCase or snake_case names; other names are ignored. A line that
-    is no profile, or has a negative number of years, is rejected."""
-    raw = spark.read.schema(PROFILE).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    is no profile, or has a number of years that is negative or not whole, is rejected: (candidate_id, line)."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    raw = lines.select("value", F.from_json("value", PROFILE, {"columnNameOfCorruptRecord": "_corrupt"}).alias("p")).select("value", "p.*")
     years = F.coalesce("totalYearsExperience", "total_years_experience")
-    bad = F.col("_corrupt").isNotNull() | F.coalesce(years < 0, F.lit(False))
+    bad = F.col("_corrupt").isNotNull() | F.coalesce((years < 0) | (years != F.floor(years)), F.lit(False))
     education = F.transform("education", lambda e: F.struct(e["degree"].alias("degree"), e["school"].alias("school"), F.coalesce(e["fieldOfStudy"], e["field_of_study"]).alias("field_of_study")))
     work = F.transform(F.coalesce("workHistory", "work_history"), lambda w: F.struct(w["title"].alias("title"), w["company"].alias("company"), F.coalesce(w["bullets"], w["achievements"], F.when(F.trim(w["description"]) != "", F.array(w["description"]))).alias("bullets")))
     good = raw.where(~bad).select("candidate_id", "summary", "skills", F.coalesce("workAuthorization", "work_authorization").alias("work_authorization"), years.cast("int").alias("total_years"), education.alias("education"), work.alias("work_history"))
-    return good, raw.where(bad).select("candidate_id", F.col("_corrupt").alias("line"))
+    return good, raw.where(bad).select("candidate_id", F.col("value").alias("line"))
 
 
 def write_aliases(aliases: DataFrame, path: str, language: str = "en", source: str = "taxonomy") -> None:
