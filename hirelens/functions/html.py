@@ -1,12 +1,16 @@
-"""HTML to plain text by column expressions: the text stays in the JVM, whatever the size of the table."""
+"""HTML to plain text by column expressions; only texts with character references pass through Python, in Arrow batches."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Character references that postings use, as patterns; `&` is last, so that one pass undoes one level.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&(?:#39|#x27|apos);": "'", "&nbsp;": " ", "&amp;": "&"}
+#: For the SQL only: the references of the given pages, as patterns; `&` is last, so that one pass undoes one level.
+ENTITIES = {"&lt;?": "<", "&gt;?": ">", "&quot;?": '"', "&copy;?": "©", "&middot;?": "·", "&amp;?": "&"}
 SPACE = r"[ \t\n\r\f\x0B\x{A0}]"
 #: In this order: what is no text, what ends a line, all other tags.
 TAGS = {
@@ -18,14 +22,27 @@ LAYOUT = {r"[ \t]+": " ", rf"\n{SPACE}*\n{SPACE}*\n+": "\n\n", rf"^{SPACE}+|{SPA
 STEPS = (ENTITIES, TAGS, ENTITIES, LAYOUT)
 
 
+@F.pandas_udf(StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescaped(c: Column) -> Column:
+    """`c` with one level of character references undone, named and numeric ones, as HTML 5 reads them."""
+    return F.coalesce(_unescape(F.when(c.rlike("&[#A-Za-z]"), c)), c)
+
+
 def html_text(c: Column) -> Column:
     """Plain text of an HTML column, whose own entities may be escaped once more; null and empty give an empty text.
 
-    Lines end at the end of a block and at `br`; more than one blank line becomes one. Entities beyond ENTITIES stay
-    as they are, and blocks without an end tag do not end a line.
+    Lines end at the end of a block and at `br`; more than one blank line becomes one. A block without an end
+    tag does not end a line.
     """
     out = F.coalesce(c, F.lit(""))
     for step in STEPS:
+        if step is ENTITIES:
+            out = unescaped(out)
+            continue
         for pattern, to in step.items():
             out = F.regexp_replace(out, pattern, to)
     return out

@@ -121,9 +121,9 @@ def test_top_k_plan_has_no_cross_join(spark):
 
 
 def test_html_text(spark):
-    rows = [("&lt;p&gt;One &amp;amp; two&lt;/p&gt;",), ("<p>A</p><script>x < y</script><ul><li>b</li><li>c<br/>d</li></ul>",), ("<div>1</div>\n\n\n<div>2</div><!-- <p>no</p> -->",), (None,), ("",), ("3 < 4",)]
+    rows = [("&lt;p&gt;One &amp;amp; two&lt;/p&gt;",), ("<p>A</p><script>x < y</script><ul><li>b</li><li>c<br/>d</li></ul>",), ("<div>1</div>\n\n\n<div>2</div><!-- <p>no</p> -->",), (None,), ("",), ("3 < 4",), ("<p>caf&eacute; &amp;mdash; a&#8211;b&hellip;&copy &x;</p>",)]
     got = [r[0] for r in spark.createDataFrame(rows, "html string").select(H.html_text(F.col("html"))).collect()]
-    assert [x.split() for x in got] == [["One", "&", "two"], ["A", "b", "c", "d"], ["1", "2"], [], [], ["3", "<", "4"]]
+    assert [x.split() for x in got] == [["One", "&", "two"], ["A", "b", "c", "d"], ["1", "2"], [], [], ["3", "<", "4"], ["café", "—", "a–b…©", "&x;"]]
     assert got[0] == "One & two" and got[2] == "1 \n\n 2" and "b \n c \n d" in got[1]
 
 
