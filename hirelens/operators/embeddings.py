@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelens.operators.calls import call_once
+from hirelens.operators.ledger import TARGET
+from hirelens.operators.texts import job_texts
+from hirelens.sources.store import fresh_folder, staged
+
 
 def with_freshness(jobs: DataFrame, held: DataFrame) -> DataFrame:
     """`jobs` (job_id, content_fingerprint) with `state`: missing, stale or fresh against `held` (job_id,
@@ -42,17 +47,32 @@ def valid_vectors(rows: DataFrame, vector: str, dim: int) -> DataFrame:
     return rows.withColumn("valid", F.coalesce((F.size(vector) == dim) & finite, F.lit(False)))
 
 
-def refresh(stale: DataFrame, embed: Callable[[list[str]], list[list[float]]], parallel: int, batch: int = 32) -> DataFrame:
+def refresh(stale: DataFrame, embed: Callable[[list[str]], list[list[float]]], parallel: int, batch: int = 32, root: str | None = None, model: str = "") -> DataFrame:
     """(job_id, content_fingerprint, embedding) of `stale` (job_id, text, content_fingerprint). `parallel` bounds the
-    calls made at once, `batch` the texts of one call."""
+    calls made at once, `batch` the texts of one call. Each distinct text is embedded once, here and not when the result
+    is read; with a ledger `root`, also over later runs of the same `model`. Rows whose call failed aren't there."""
+    spark = stale.sparkSession
+    asked = staged(stale.select("job_id", "text", "content_fingerprint", F.sha2(F.concat(F.lit(f"{model}\n"), "text"), 256).alias("call_key")), "embed")
+    answers, _ = call_once(asked.select("call_key", "text"), lambda rows: embed([r["text"] for r in rows]), root or fresh_folder(spark, "embed-calls"), "array<float>", batch, parallel)
+    return asked.join(answers, "call_key").where("answer IS NOT NULL").select("job_id", "content_fingerprint", F.col("answer").alias("embedding"))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), batch):
-                some = f.iloc[i : i + batch]
-                yield pd.DataFrame({"job_id": some["job_id"], "content_fingerprint": some["content_fingerprint"], "embedding": embed(some["text"].tolist())})
+def refresh_embeddings(jobs: DataFrame, held: DataFrame, embed: Callable[[list[str]], list[list[float]]], target: dict, at: Column, root: str, parallel: int = 8, batch: int = 32, **selection) -> tuple[DataFrame, DataFrame]:
+    """(embeddings after the refresh, one row of counts: selected, refreshed, failed) of `jobs` (as for `to_embed` and
+    `texts.job_texts`) against `held` (job_id, the target's columns, embedding, content_fingerprint, created_at,
+    updated_at), for one target: which are due, their texts, the calls, and the upsert.
 
-    return stale.select("job_id", "text", "content_fingerprint").repartition(parallel).mapInPandas(run, "job_id long, content_fingerprint string, embedding array<float>")
+    Vectors that don't fit the target's dimensions count as failed, as do rows whose call failed; what is held of them
+    stays. Other targets' rows stay.
+    """
+    of = reduce(Column.__and__, (F.col(c) == F.lit(target[c]) for c in TARGET))
+    due = to_embed(jobs, held.where(of), **selection)
+    texts = staged(due.join(job_texts(due), "job_id").select("job_id", "content_fingerprint", "text"), "due")
+    model = "|".join(str(target[c]) for c in TARGET)
+    made = valid_vectors(refresh(texts, embed, parallel, batch, root, model), "embedding", target["embedding_dim"]).where("valid")
+    new = made.select("job_id", *(F.lit(target[c]).cast(held.schema[c].dataType).alias(c) for c in TARGET), F.col("embedding").cast(held.schema["embedding"].dataType), "content_fingerprint", at.alias("created_at"), at.alias("updated_at"))
+    counts = texts.agg(F.count(F.lit(1)).alias("selected")).crossJoin(new.agg(F.count(F.lit(1)).alias("refreshed")))  # of one row each
+    return upsert(held, new, ["job_id", *TARGET]), counts.withColumn("failed", F.col("selected") - F.col("refreshed"))
 
 
 def upsert(held: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

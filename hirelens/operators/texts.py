@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
@@ -13,82 +15,96 @@ from hirelens.functions import vocabulary as V
 MAX_CHARS = 2200
 
 
-def _key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9#+./ ]+", " "), " +", " "))
-
-
-def _heading(line: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.regexp_replace(line, r"^[#*\-_ ]+", ""), r"[:*\-_ ]+$", ""))
-    out = F.lit(None).cast("string")
-    for label, pattern in reversed(V.SECTION_HEADINGS.items()):
-        out = F.when(bare.rlike(rf"(?i)^({pattern})$"), label).otherwise(out)
+HEADINGS = {label: re.compile(pattern, re.I).fullmatch for label, pattern in V.SECTION_HEADINGS.items()}
+DROPPED = re.compile(rf"\b(?:{'|'.join(V.DROPPED_LINES)})\b", re.I).search
+BLANKS, BESIDE = re.compile(r"\s+"), re.compile(r"[^a-z0-9#+./ ]+")
+EVIDENCE = "struct<" + ", ".join(f"{label}: array<string>" for label in V.SECTION_LINES) + ">"
+#: Characters of descriptions whose lines are held as a table at once.
+TOGETHER = 4_000_000
+
+
+def _key(text: str) -> str:
+    return " ".join(BESIDE.sub(" ", text.lower()).split())
+
+
+@lru_cache(200_000)
+def _line(raw: str) -> tuple[str, str | None, str, bool, int, tuple[int, ...]]:
+    """(line, section that it heads, key, whether it is dropped, its points, points for each domain) of a raw line."""
+    line = BLANKS.sub(" ", raw.strip().lstrip("-*• ").strip())
+    bare = line.lstrip("#*-_ ").rstrip(":*-_ ").strip()
+    head = next((label for label, fits in HEADINGS.items() if fits(bare)), None)
+    key = _key(line)
+    points = sum(any(w in key for w in words) for words in (V.ACTION_WORDS, V.ABILITY_WORDS))
+    return line, head, key, bool(DROPPED(line)), points, tuple(2 * sum(h in key for h in hints) for hints in V.DOMAIN_HINTS.values())
+
+
+def _evidence(rows: pd.DataFrame) -> list[dict[str, list[str]]]:
+    """Of each row (description, required, preferred, domain) its sections' lines, all rows' lines as one table."""
+    lines = pd.DataFrame([(i, *_line(raw)) for i, text in enumerate(rows["description"]) for raw in (text or "").splitlines()], columns=["row", "line", "head", "key", "dropped", "points", "hints"])
+    out: list[dict[str, list[str]]] = [{label: [] for label in V.SECTION_LINES} for _ in range(len(rows))]
+    lines = lines[lines["line"] != ""].reset_index(drop=True)
+    if lines.empty:
+        return out
+    heads = lines["head"].notna()
+    lines["block"] = (heads | (lines["row"] != lines["row"].shift())).cumsum()
+    lines["label"] = lines.groupby("block")["head"].transform("first").fillna("body")
+    lines = lines[~heads & ~lines["dropped"] & lines["label"].isin(V.SECTION_LINES)]
+    # keys of a row's skills, once for the row
+    listed = [[(k, points) for skills, most, points in ((r.required, 12, 4), (r.preferred, 8, 2)) for s in ([] if skills is None else skills[:most]) if s is not None and (k := _key(s))] for r in rows.itertuples()]
+    domains = {name: k for k, name in enumerate(V.DOMAIN_HINTS)}
+    place = [domains.get(d, -1) for d in rows["domain"]]
+    lines["score"] = [p + (h[place[i]] if place[i] >= 0 else 0) + sum(n for k, n in listed[i] if k in key) for i, key, p, h in zip(lines["row"], lines["key"], lines["points"], lines["hints"], strict=True)]
+    # best lines of a block first, then as they stand
+    lines = lines.sort_values(["block", "score"], ascending=[True, False], kind="stable")
+    limit = lines["label"].map(V.SECTION_LINES)
+    sizes = lines.groupby("block").agg(row=("row", "first"), label=("label", "first"), size=("row", "size"))
+    before = sizes.groupby(["row", "label"])["size"].cumsum() - sizes["size"]
+    # a block adds lines until the section is full, and one at least even if it is
+    room = (limit - lines["block"].map(before)).clip(lower=1)
+    kept = lines[lines.groupby("block").cumcount() < room]
+    kept = kept[kept["key"] != ""].drop_duplicates(["row", "label", "key"])
+    kept = kept[kept.groupby(["row", "label"]).cumcount() < kept["label"].map(V.SECTION_LINES)]
+    for row, label, line in zip(kept["row"], kept["label"], kept["line"], strict=True):
+        out[row][label].append(line)
     return out
 
 
-def _hits(key: Column, skills: Column, points: int) -> Column:
-    """`points` for each skill whose spelling is in the line."""
-    keys = F.filter(F.transform(skills, _key), lambda k: k != "")
-    return points * F.size(F.filter(keys, lambda k: F.contains(key, k)))
+def evidence(description: Column, required: Column, preferred: Column, domain: Column) -> Column:
+    """A struct of each kept section's lines that say most of the job, at most SECTION_LINES. Headings carry down to the
+    lines below them, lines are ranked within their block by score, then place, and blocks of one section fill it in
+    order: one pass over an Arrow batch's lines as a table, without an exchange. Null lists have no skills."""
 
+    def select(texts: pd.Series, required: pd.Series, preferred: pd.Series, domains: pd.Series) -> pd.DataFrame:
+        rows = pd.DataFrame({"description": texts, "required": required, "preferred": preferred, "domain": domains})
+        cut = (texts.str.len().fillna(0).cumsum() // TOGETHER).astype(int)
+        return pd.DataFrame([x for _, some in rows.groupby(cut, sort=True) for x in _evidence(some)], columns=[*V.SECTION_LINES])
 
-def _line_score() -> Column:
-    line, key, domain = F.col("line"), F.col("key"), F.col("job_domain")
-    score = _hits(key, F.slice("required_skills", 1, 12), 4) + _hits(key, F.slice("preferred_skills", 1, 8), 2)
-    for name, hints in V.DOMAIN_HINTS.items():
-        score += F.when(domain == name, reduce(Column.__add__, (F.when(key.contains(h), 2).otherwise(0) for h in hints))).otherwise(0)
-    for words in (V.ACTION_WORDS, V.ABILITY_WORDS):
-        score += N.contains_any(key, words).cast("int")
-    return F.when(line.rlike(r"(?i)\b(?:" + "|".join(V.DROPPED_LINES) + r")(?:\b|(?<=\)))"), -10).otherwise(score)
+    return F.pandas_udf(select, EVIDENCE)(description, required, preferred, domain)
 
 
 def evidence_lines(postings: DataFrame) -> DataFrame:
-    """(job_id, label, lines): the lines of each kept section that say most of the job, at most SECTION_LINES.
-
-    postings: job_id, description, required_skills, preferred_skills, job_domain. A line is a row: headings are found,
-    a window carries them down, and lines are ranked within their block by score, then place; blocks of one section
-    fill it in order. A window holds the lines of one posting.
-    """
-    text = F.regexp_replace(F.coalesce("description", F.lit("")), r"\r\n?", "\n")
-    cols = ["job_id", "required_skills", "preferred_skills", "job_domain"]
-    raw = postings.select(*cols, F.posexplode(F.split(text, N.LINES)).alias("pos", "raw"))
-    line = F.regexp_replace(F.trim(F.regexp_replace(N.strip(F.col("raw")), r"^[-*• ]+", "")), N.SPACE, " ")
-    lines = raw.withColumn("line", line).where("line <> ''").withColumn("head", _heading(F.col("line")))
-    so_far = Window.partitionBy("job_id").orderBy("pos")
-    marked = lines.withColumn("block", F.sum(F.col("head").isNotNull().cast("int")).over(so_far)).withColumn("label", F.coalesce(F.last("head", ignorenulls=True).over(so_far), F.lit("body")))
-    marked = marked.where(F.col("head").isNull() & F.col("label").isin(*V.SECTION_LINES)).withColumn("key", _key(F.col("line"))).withColumn("score", _line_score()).where("score >= 0")
-    limit = F.lit(0)
-    for label, n in V.SECTION_LINES.items():
-        limit = F.when(F.col("label") == label, n).otherwise(limit)
-    in_block = Window.partitionBy("job_id", "block").orderBy(F.desc("score"), "pos")
-    in_label = Window.partitionBy("job_id", "label").orderBy("block", F.desc("score"), "pos")
-    # a block adds lines until the section is full, and one at least even if it is
-    ranked = marked.withColumn("n", F.row_number().over(in_block)).withColumn("limit", limit)
-    sizes = ranked.groupBy("job_id", "label", "block").agg(F.count(F.lit(1)).alias("size"), F.first("limit").alias("most"))
-    earlier = Window.partitionBy("job_id", "label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    filled = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).select("job_id", "block", "before")
-    kept = ranked.join(filled, ["job_id", "block"]).where(F.col("n") <= F.greatest(F.lit(1), F.col("limit") - F.col("before")))
-    kept = kept.withColumn("place", F.row_number().over(in_label)).where("key <> ''")
-    once = kept.withColumn("again", F.row_number().over(Window.partitionBy("job_id", "label", "key").orderBy("place"))).where("again = 1")
-    cut = once.withColumn("place", F.row_number().over(Window.partitionBy("job_id", "label").orderBy("place"))).where("place <= limit")
-    listed = cut.groupBy("job_id", "label").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
-    return listed.select("job_id", "label", F.transform("x", lambda y: y["line"]).alias("lines"))
+    """(job_id, label, lines) of `postings` (job_id, description, required_skills, preferred_skills, job_domain), of
+    sections with lines; see `evidence`."""
+    found = postings.select("job_id", evidence(*map(F.col, ("description", "required_skills", "preferred_skills", "job_domain"))).alias("e"))
+    each = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"e.{label}").alias("lines")) for label in V.SECTION_LINES))
+    return found.select("job_id", F.explode(each).alias("x")).select("job_id", "x.*").where("size(lines) > 0")
 
 
 def job_texts(postings: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(job_id, text) to embed of `postings` (as for `evidence_lines`, and title, seniority_level). Longer texts are cut
     and end with an ellipsis."""
-    shown = evidence_lines(postings).groupBy("job_id").agg(*(F.max(F.when(F.col("label") == x, F.concat(F.lit(f"{t}:\n- "), F.array_join("lines", "\n- ")))).alias(f"__{x}") for x, t in V.SECTION_TITLES.items()))
-    got = postings.join(shown, "job_id", "left")
+    got = postings.withColumn("__e", evidence(*map(F.col, ("description", "required_skills", "preferred_skills", "job_domain"))))
     skills = F.array_join(F.slice("required_skills", 1, 10), ", ")
     parts = [
         F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("Title: "), N.strip(F.col("title")))),
         F.when(F.coalesce("job_domain", F.lit("unknown")) != "unknown", F.concat(F.lit("Domain: "), F.replace("job_domain", F.lit("_"), F.lit(" ")))),
         F.concat(F.lit("Seniority: "), F.nullif("seniority_level", F.lit(""))),
-        F.when(skills != "", F.concat(F.lit("Required skills: "), skills)), *(F.col(f"__{x}") for x in V.SECTION_TITLES),
+        F.when(skills != "", F.concat(F.lit("Required skills: "), skills)),
+        *(F.when(F.size(f"__e.{x}") > 0, F.concat(F.lit(f"{t}:\n- "), F.array_join(f"__e.{x}", "\n- "))) for x, t in V.SECTION_TITLES.items()),
     ]
-    text = N.strip(F.concat_ws("\n\n", *parts))
-    cut = F.concat(F.rtrim(F.substring(text, 1, max_chars - 1)), F.lit("…"))
-    return got.select("job_id", F.when(F.length(text) <= max_chars, text).otherwise(cut).alias("text"))
+    made = got.select("job_id", N.strip(F.concat_ws("\n\n", *parts)).alias("text"))
+    cut = F.concat(F.rtrim(F.substring("text", 1, max_chars - 1)), F.lit("…"))
+    return made.select("job_id", F.when(F.length("text") <= max_chars, F.col("text")).otherwise(cut).alias("text"))
 
 
 def candidate_texts(candidates: DataFrame, max_chars: int) -> DataFrame:

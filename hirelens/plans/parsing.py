@@ -42,13 +42,18 @@ def o40_rule_fields(spark, sf_dir):
 
 
 def _call(aliases, prompts):
-    """A stand-in for a model: answers in several shapes, and not to every posting."""
-    out = {}
+    """A stand-in for a model: answers in several shapes, not to every posting, to some twice, and to some that it was
+    not asked about."""
+    out = []
     for a, p in zip(aliases, prompts, strict=True):
         n = int(p.split("role ")[1].split("\n")[0])
         if n % 17:
             skills = f'["Python", "python ", "R&D_{n % 5}", ""]'
-            out[a] = f'{{"d": "data science", "s": {skills}, "i": {n}}}' if n % 2 else f'Sure:\n```json\n{{"required_skills": {skills}, "preferred_skills": "Go", "job_domain_normalized": "fintech", "note": "a {{ b"}}\n```'
+            out.append((a, f'{{"d": "data science", "s": {skills}, "i": {n}}}' if n % 2 else f'Sure:\n```json\n{{"required_skills": {skills}, "preferred_skills": "Go", "job_domain_normalized": "fintech", "note": "a {{ b"}}\n```'))
+            if n % 19 == 0:
+                out.append((a, '{"d": "sales", "s": ["Excel"]}'))
+        if n % 23 == 0:
+            out.append((f"x{n}", '{"d": "sales", "s": ["Word"]}'))
     return out
 
 
@@ -61,7 +66,8 @@ def _outputs(spark, sf_dir):
     return said.select(F.col("job_id").cast("long").alias("job_id"), Q.json_object(F.col("payload")).alias("payload")), problems
 
 
-@query(f"WITH {J} SELECT CAST(job_id AS VARCHAR) AS job_id, 'missing' AS problem FROM j WHERE job_id % 17 = 0")
+@query(f"""WITH {J} SELECT CAST(job_id AS VARCHAR) AS job_id, 'missing' AS problem FROM j WHERE job_id % 17 = 0
+  UNION ALL SELECT CAST(job_id AS VARCHAR), 'duplicate' FROM j WHERE job_id % 17 <> 0 AND job_id % 19 = 0 UNION ALL SELECT 'x' || job_id, 'unexpected' FROM j WHERE job_id % 23 = 0""")
 def o90_batch_problems(spark, sf_dir):
     return _outputs(spark, sf_dir)[1]
 

@@ -12,10 +12,11 @@ from hirelens.functions import normalize as N
 from hirelens.operators import embeddings as E
 from hirelens.operators import ledger as G
 from hirelens.operators import snapshot as S
-from hirelens.plans.registry import J, query
+from hirelens.plans.registry import DOMAIN_SQL, J, query
 from hirelens.sources import files
 from hirelens.sources.fixtures import jobs, shared_folder, staged, table
 from hirelens.streaming import jobs as stream
+from hirelens.streaming import snapshots
 
 AT = "2030-01-01"
 
@@ -150,14 +151,33 @@ def o59_to_embed(spark, sf_dir):
     return reduce(DataFrame.unionByName, (E.to_embed(rows, held, **how).select(F.lit(name).alias("variant"), "job_id") for name, how in variants.items()))
 
 
-@query("SELECT vec_id AS job_id, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'old' END AS origin FROM embeddings")
+TARGET = {"embedding_kind": "job", "embedding_target_revision": 1, "embedding_model": "m", "embedding_dim": 4}
+
+
+def _embed(texts):
+    """A stand-in for a service: says how long a text is; gardeners' vectors have a number too few."""
+    return [[float(len(t)), 0.5, 1.0, *([] if "Gardener" in t else [2.0])] for t in texts]
+
+
+@query(f"""WITH {J}, t AS (SELECT job_id, length('Title: ' || title || CASE WHEN d <> 'unknown' THEN chr(10) || chr(10) || 'Domain: ' || replace(d, '_', ' ') ELSE '' END || chr(10) || chr(10) || 'Additional role context:' || chr(10) || '- Role ' || job_id) AS n, title,
+    job_id % 3 AS k, status FROM (SELECT *, {DOMAIN_SQL('title')} AS d FROM j)), r AS (SELECT *, status = 'open' AND k <> 0 AND NOT contains(title, 'Gardener') AS refreshed FROM t)
+  SELECT job_id, 1 AS revision, CASE WHEN refreshed THEN n ELSE -1 END AS first, CASE WHEN refreshed OR k = 0 THEN 'f' || job_id ELSE 'old' END AS fingerprint, CASE WHEN k = 2 THEN '{AT}' ELSE '2020-01-01' END AS created, CASE WHEN refreshed THEN '{AT}' ELSE '2020-01-01' END AS updated
+  FROM r WHERE k <> 2 OR refreshed UNION ALL SELECT job_id, 2, -1, 'old', '2020-01-01', '2020-01-01' FROM t WHERE k = 1 UNION ALL
+  SELECT NULL, count_if(status = 'open' AND k <> 0), count_if(refreshed), 'counts', NULL, CAST(count_if(status = 'open' AND k <> 0 AND NOT refreshed) AS VARCHAR) FROM r""")
 def o88_refresh_upsert(spark, sf_dir):
-    """Stale rows are embedded anew by a stand-in, in bounded batches; created_at stays."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), F.lit("old").alias("content_fingerprint"), "embedding", F.lit("2020-01-01").cast("timestamp").alias("created_at"))
-    wanted = e.select("job_id", F.when(F.col("job_id") % 2 == 0, "new").otherwise("old").alias("content_fingerprint"))
-    stale = E.with_freshness(wanted, e).where("state <> 'fresh'").withColumn("text", F.col("job_id").cast("string"))
-    made = E.refresh(stale, lambda texts: [[float(len(t))] * 64 for t in texts], parallel=2)
-    return E.upsert(e, made.withColumn("created_at", _at()), ["job_id"]).where("created_at < '2025-01-01'").select("job_id", F.col("content_fingerprint").alias("origin"))
+    """Open postings whose embedding is stale or missing: their texts, calls of a stand-in, upsert; a held row keeps its
+    created_at, other targets' rows stay, and a vector that doesn't fit leaves what is held."""
+    rows = N.with_domain(jobs(spark, sf_dir), "title", "job_domain").select(
+        "job_id", "title", "status", F.concat(F.lit("Role "), F.col("job_id").cast("string")).alias("description"), F.concat(F.lit("f"), F.col("job_id").cast("string")).alias("content_fingerprint"), "job_domain",
+        F.lit(None).cast("array<string>").alias("required_skills"), F.lit(None).cast("array<string>").alias("preferred_skills"), F.lit(None).cast("string").alias("seniority_level"),
+    )
+    k, past = F.col("job_id") % 3, F.lit("2020-01-01").cast("timestamp")
+    had = rows.where(k != 2).select("job_id", *(F.lit(x).alias(c) for c, x in TARGET.items()), F.array(*[F.lit(-1.0).cast("float")] * 4).alias("embedding"), F.when(k == 0, F.col("content_fingerprint")).otherwise("old").alias("content_fingerprint"), past.alias("created_at"), past.alias("updated_at"))
+    held = staged(had.unionByName(had.where(k == 1).withColumn("embedding_target_revision", F.lit(2))), "held")
+    got, counts = E.refresh_embeddings(rows.where("status = 'open'"), held, _embed, TARGET, _at(), f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    shown = got.select("job_id", F.col("embedding_target_revision").cast("long").alias("revision"), F.get("embedding", F.lit(0)).cast("long").alias("first"), F.col("content_fingerprint").alias("fingerprint"), day("created_at").alias("created"), day("updated_at").alias("updated"))
+    return shown.unionByName(counts.select(F.lit(None).cast("long").alias("job_id"), F.col("selected").alias("revision"), F.col("refreshed").alias("first"), F.lit("counts").alias("fingerprint"), F.lit(None).cast("string").alias("created"), F.col("failed").cast("string").alias("updated")))
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents")
@@ -196,15 +216,45 @@ def o81_first_seen(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{at}/out").select("user_id", "event_type")
 
 
-@query(f"WITH {J}, l AS (SELECT source_id, external_job_id, arg_max(title, job_id) AS title FROM j GROUP BY 1, 2) SELECT source_id, external_job_id, title, 'open' AS status FROM l")
+#: Days of three snapshots; five sources' third one fails.
+DAYS = ("2024-01-01", "2024-01-02", "2024-01-03")
+THIRD_FAILS = "source_id IN ('src0', 'src1', 'src2', 'src3', 'src4')"
+
+
+def _landed(spark, sf_dir):
+    """A folder of snapshots that land in pieces, as rows and marks: the second one's end before its rows, half of the
+    first one behind it, a piece again, and a late piece of an ended one."""
+    rows = jobs(spark, sf_dir).select("source_id", "external_job_id", "title", F.col("job_id").alias("seq"))
+    days = reduce(DataFrame.unionByName, (rows.where((F.col("seq") + n) % 3 != 0).withColumn("day", F.lit(n)) for n in (1, 2, 3)))
+    held = staged(days.withColumn("kind", F.lit("row")), "snapshot-rows")
+    sources = held.select("source_id").distinct()
+
+    def mark(n, kind, where="true"):
+        nothing = {c: F.lit(None).cast(k).alias(c) for c, k in (("external_job_id", "string"), ("title", "string"), ("seq", "long"))}
+        return sources.where(where).select("source_id", *nothing.values(), F.lit(n).alias("day"), F.lit(kind).alias("kind"))
+
+    half = F.col("seq") % 2 == 0
+    pieces = [
+        held.where((F.col("day") == 1) & half), mark(2, "end").unionByName(held.where("day = 3")), held.where((F.col("day") == 1) & ~half).unionByName(mark(1, "end")).unionByName(held.where((F.col("day") == 2) & half)),
+        mark(3, "end", f"NOT {THIRD_FAILS}").unionByName(mark(3, "failed", THIRD_FAILS)), held.where("day = 1").unionByName(mark(1, "end")), held.where((F.col("day") == 2) & ~half),
+    ]
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    at = F.element_at(F.array(*(F.lit(d).cast("timestamp") for d in DAYS)), F.col("day"))
+    for piece in pieces:
+        piece.withColumn("at", at).drop("day").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(f"""WITH {J}, d AS (SELECT * FROM (VALUES (1), (2), (3)) t(n)), r AS (SELECT source_id, external_job_id, job_id, title, n FROM j CROSS JOIN d WHERE (job_id + n) % 3 <> 0 AND NOT (n = 3 AND {THIRD_FAILS})),
+  k AS (SELECT source_id, external_job_id, arg_max(title, CAST(n AS BIGINT) * 1000000000 + job_id) AS title, min(n) AS first, max(n) AS last, CASE WHEN {THIRD_FAILS} THEN 2 ELSE 3 END AS ended FROM r GROUP BY 1, 2)
+  SELECT source_id, external_job_id, title, CASE WHEN last < ended THEN 'closed' ELSE 'open' END AS status, '2024-01-0' || first AS created, '2024-01-0' || last AS last_seen, '2024-01-0' || CASE WHEN last < ended THEN last + 1 ELSE last END AS updated FROM k""")
 def o79_streaming_reconcile(spark, sf_dir):
-    """Landed snapshots reach the stored state by micro-batches, each through the reconcile."""
-    rows = jobs(spark, sf_dir)
-    landed = staged(rows.select("source_id", "external_job_id", "title", F.col("job_id").alias("seq"), F.col("last_seen_at").alias("at")), "landed")
-    at = f"{shared_folder(spark)}/reconcile-{uuid.uuid4().hex}"
-    source = landed.inputFiles()[0].rsplit("/", 1)[0]
-    stream.reconcile_stream(spark.readStream.schema(landed.schema).parquet(source), f"{at}/state", f"{at}/log", ["title"])
-    return G.read_state(spark, f"{at}/state").select("source_id", "external_job_id", "title", "status")
+    """Three snapshots of each source by micro-batches of a file: the state is that of whole snapshots in order."""
+    path, root = _landed(spark, sf_dir), f"{shared_folder(spark)}/reconcile-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    snapshots.reconcile_snapshots(stream, root, ["title"], buckets=4)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return snapshots.read_reconciled(spark, root, "title string").select("source_id", "external_job_id", "title", "status", day("created_at").alias("created"), day("last_seen_at").alias("last_seen"), day("updated_at").alias("updated"))
 
 
 @query(f"WITH {J} SELECT DISTINCT trim(title) AS raw FROM j WHERE trim(title) <> ''")

@@ -1,16 +1,10 @@
-"""Incremental forms: windowed request metrics, first-seen dedupe, snapshot reconcile by micro-batch."""
+"""Incremental forms: windowed request metrics, first-seen dedupe."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.operators.ledger import read_state, write_state
-from hirelens.operators.snapshot import last_wins, reconcile
-
 
 def windowed_metrics(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Per window and route of a stream `log` (ts, route, duration, failed); append mode emits a window when the
@@ -25,34 +19,6 @@ def first_seen(rows: DataFrame, key: list[str], ts: str = "ts", late: str = "1 h
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Runs `apply(batch, batch_id)` on what has landed; a batch that is run again has the same id, so writing
-    to a folder named by it is idempotent."""
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def reconcile_stream(landed: DataFrame, root: str, checkpoint: str, payload: list[str]) -> None:
-    """Brings all that has landed of a stream (source_id, external_job_id, seq, at, payload columns) into the state at
-    `root`: each micro-batch is reconciled with the newest state as of its latest `at`, and written as its next version.
-    A batch that is run again is reconciled to the same rows."""
-    columns = ["id string", "status string", "last_seen_at timestamp", "created_at timestamp", "updated_at timestamp"]
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        at = batch.agg(F.max("at")).first()[0]
-        if at is None:
-            return
-        kinds = dict(batch.dtypes)
-        try:
-            old = read_state(spark, root)
-        except AnalysisException:  # there is no state yet
-            old = spark.createDataFrame([], ", ".join(["source_id string", "external_job_id string", *columns, *(f"{c} {kinds[c]}" for c in payload)]))
-        new = reconcile(old, last_wins(batch.select("source_id", "external_job_id", "seq", *payload)), F.lit(at), payload)
-        write_state(new.drop("action"), root)
-
-    each_batch(landed, apply, checkpoint).awaitTermination()
-
-
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
