@@ -1,7 +1,8 @@
 """Landed payloads of eight platforms to postings of one shape, for all sources in one job.
 
-A payload is parsed once, by its platform's schema; each platform is a projection of it. A source whose rows can't all be mapped
-has failed as a whole: it is reported, and the reconcile leaves its stored rows alone.
+Landed payloads are shredded: each is parsed once, by its platform's schema, into a typed struct that is kept as a table
+by platform; a platform's postings are a projection of its part of that table. A source whose rows can't all be mapped has
+failed as a whole: it is reported, and the reconcile leaves its stored rows alone.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions.html import html_text
+from hirelens.sources.store import bounded, fresh_folder, staged
 
 # Where a platform's answer holds its list of postings.
 LIST_PATHS = {
@@ -237,30 +239,45 @@ NEEDS_URL = ("eightfold", "apple", "uber", "tiktok")
 STRUCTURED = ("smartrecruiters", "apple", "uber", "tiktok")
 
 
+def shredded(landed: DataFrame) -> DataFrame:
+    """(source_id, seq, platform, shape and a struct `v_` of each platform, null but for the row's own) of `landed`
+    (source_id, platform, seq, payload), written once by `shape`: the platform, or `unknown`."""
+    spark = landed.sparkSession
+    shape = F.when(F.col("platform").isin(*MAPPERS), F.col("platform")).otherwise("unknown")
+    parsed = [F.when(F.col("platform") == p, F.from_json("payload", SCHEMAS[p])).alias(f"v_{p}") for p in MAPPERS]
+    typed = landed.select("source_id", "platform", "seq", *parsed, shape.alias("shape"))
+    path = fresh_folder(spark, "shredded")
+    typed.write.partitionBy("shape").parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)
+
+
 def map_payloads(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, failed) of `landed` (source_id, platform, seq, payload).
 
     postings: source_id, platform, seq and FIELDS, of sources without an error. location_text is the place as written;
     city, region and country_raw are set where the platform names them (is_structured). failed: source_id and n_errors
     of each source that has a row without an external id, without an address where one is made up of parts, of an
-    unknown platform, or that is no JSON object.
+    unknown platform, or that is no JSON object. Both are read from tables that are written here.
     """
-    made = []
+    typed, made = shredded(landed), []
     for platform, mapper in MAPPERS.items():
         got = mapper()
-        parsed = landed.where(F.col("platform") == platform).withColumn("v", F.from_json("payload", SCHEMAS[platform]))
-        made.append(parsed.select("source_id", "platform", "seq", *(got.get(c, F.lit(None)).cast("string").alias(c) for c in RAW)))
+        rows = typed.where(F.col("shape") == platform).withColumn("v", F.col(f"v_{platform}"))  # only its files are read
+        raw = rows.select("source_id", "platform", "seq", *(got.get(c, F.lit(None)).cast("string").alias(c) for c in RAW))
+        if platform == "smartrecruiters":
+            raw = raw.withColumn("description_plain", F.when(F.col("description_html").isNotNull(), html_text(F.col("description_html"))).otherwise(F.col("description_plain")))
+        made.append(raw)
     raw = reduce(DataFrame.unionByName, made).withColumn("is_structured", F.col("platform").isin(*STRUCTURED))
-    plain = F.when((F.col("platform") == "smartrecruiters") & F.col("description_html").isNotNull(), html_text(F.col("description_html"))).otherwise(F.col("description_plain"))
     hints = F.when(F.col("is_structured"), F.array("hint")).otherwise(F.array("location_text", "hint"))
+    bad = F.col("external_job_id").isNull() | (F.col("platform").isin(*NEEDS_URL) & F.col("apply_url").isNull())
     mapped = raw.withColumns({
-        "description_plain": plain, "employment_type": N.employment_type(F.col("kind")), "published_at": N.flexible_timestamp(F.col("published")),
-        "source_updated_at": N.flexible_timestamp(F.col("updated")), "workplace_type": N.workplace(hints),
-    }).select("source_id", "platform", "seq", *FIELDS)
-    bad = mapped.where(F.col("external_job_id").isNull() | (F.col("platform").isin(*NEEDS_URL) & F.col("apply_url").isNull())).select("source_id")
-    unknown = landed.where(~F.coalesce(F.col("platform").isin(*MAPPERS), F.lit(False))).select("source_id")
-    failed = bad.unionByName(unknown).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_errors"))
-    return mapped.join(failed, "source_id", "left_anti"), failed
+        "employment_type": N.employment_type(F.col("kind")), "published_at": N.flexible_timestamp(F.col("published")),
+        "source_updated_at": N.flexible_timestamp(F.col("updated")), "workplace_type": N.workplace(hints), "bad": bad,
+    }).select("source_id", "platform", "seq", *FIELDS, "bad")
+    mapped = staged(mapped, "mapped")
+    errors = mapped.where("bad").select("source_id").unionByName(typed.where("shape = 'unknown'").select("source_id"))
+    failed = staged(errors.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_errors")), "failed-sources")
+    return mapped.drop("bad").join(bounded(failed.select("source_id")), "source_id", "left_anti"), failed
 
 
 def with_hints(postings: DataFrame, parsed: DataFrame, countries: DataFrame) -> DataFrame:

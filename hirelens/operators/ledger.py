@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,14 +116,48 @@ def backfill_unknown_links(jobs: DataFrame, links: DataFrame, unknown_id: str, a
     return links.unionByName(left.select("job_id", F.lit(unknown_id).alias("location_id"), F.lit(True).alias("is_primary"), F.col("location_text").alias("source_raw"), at.alias("created_at")))
 
 
+def _members(raw: str) -> list[tuple[str, str]]:
+    """(name, text as it stands) of the members of a JSON object."""
+    scan, blank = json.JSONDecoder().raw_decode, re.compile(r"[ \t\n\r]*").match
+    at, found = blank(raw, blank(raw).end() + 1).end(), []
+    while raw[at] != "}":
+        start = at
+        name, at = scan(raw, at)
+        _, at = scan(raw, blank(raw, blank(raw, at).end() + 1).end())
+        found.append((name, raw[start:at]))
+        at = blank(raw, at).end()
+        if raw[at] == ",":
+            at = blank(raw, at + 1).end()
+    return found
+
+
+def without_members(c: Column, names: tuple[str, ...]) -> Column:
+    """JSON objects without some members; the others stay byte for byte. What is no JSON object stays as it is."""
+
+    def cut(raw: str | None) -> str | None:
+        try:
+            if raw is None or not isinstance(json.loads(raw), dict):
+                return raw
+        except ValueError:
+            return raw
+        members = _members(raw)
+        kept = [text for name, text in members if name not in names]
+        return raw if len(kept) == len(members) else "{" + ",".join(kept) + "}"
+
+    return F.pandas_udf(lambda s: s.map(cut, na_action="ignore"), "string")(c)
+
+
+# What a domain was called before.
+OLD_DOMAIN_FIELDS = ("industry_raw", "industry_normalized", "job_domain_raw", "job_domain_normalized")
+
+
 def reset_old_domains(jobs: DataFrame, version: int = 3) -> DataFrame:
     """`jobs` where rows of an older structured_jd_version, or none, lose their domain and the fields of its former name
-    in structured_jd."""
+    in structured_jd; its other values stay byte for byte."""
     old = F.coalesce(F.col("structured_jd_version"), F.lit(0)) < version
-    kept = F.to_json(F.map_filter(F.from_json("structured_jd", "map<string,string>"), lambda k, _: ~k.isin("industry_raw", "industry_normalized", "job_domain_raw", "job_domain_normalized")))
     return jobs.withColumns({
         "job_domain_raw": F.when(old, F.lit(None).cast("string")).otherwise(F.col("job_domain_raw")), "job_domain_normalized": F.when(old, "unknown").otherwise(F.col("job_domain_normalized")),
-        "structured_jd": F.when(old, kept).otherwise(F.col("structured_jd")),
+        "structured_jd": F.when(old, without_members(F.col("structured_jd"), OLD_DOMAIN_FIELDS)).otherwise(F.col("structured_jd")),
     })
 
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions import vocabulary as V
+from hirelens.sources.store import Objects, fresh_folder, staged
 
-#: Candidates that go to every task together, by their vectors' size; and their bytes.
-BLOCK_BYTES = 16_000_000
+#: Vectors that cells and first bounds are fitted on, at most; cells; vectors of a task and candidates of a block, in
+#: bytes; scores that are held at once.
+SAMPLE, CELLS, PART_BYTES, BLOCK_BYTES, TILE = 4096, 64, 64_000_000, 16_000_000, 1_000_000
 
 
 def _unit(vectors: pa.ListArray) -> np.ndarray:
@@ -26,59 +33,168 @@ def eligible(sponsorship: np.ndarray, degree: np.ndarray, needs: np.ndarray, ran
     return (~needs[:, None] | sponsorship[None, :]) & ((rank[:, None] < 0) | (degree[None, :] <= rank[:, None]))
 
 
-def top_k(candidates: DataFrame, vectors: DataFrame, k: int = V.TOP_K, digits: int = 6) -> DataFrame:
+@dataclass(frozen=True)
+class Cells:
+    """Centres of cells, and how far a cell's vectors are from its centre at most."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, distance to its centre) of unit vectors."""
+        cell = (x @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1)).argmax(axis=1)
+        return cell, np.linalg.norm(x - self.centres[cell], axis=1)
+
+
+def fit_cells(sample: np.ndarray, cells: int = CELLS, rounds: int = 8) -> np.ndarray:
+    """Centres of a bounded sample of unit vectors, by k-means from vectors spread over it."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(cells, len(sample))).astype(int)]
+    for _ in range(rounds):
+        own = (sample @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, sample)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+class Best:
+    """The k best (score, id) of each of n rows; ties by id."""
+
+    def __init__(self, n: int, k: int, least: np.ndarray):
+        self.k, self.score, self.ids, self.least = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), least.copy()
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        beats = (score >= self.least[rows, None]) & (score > -np.inf)
+        some, at = beats.any(axis=1), beats.any(axis=0)
+        rows, score, ids = rows[some], score[np.ix_(some, at)], ids[at]
+        if not len(rows):
+            return
+        both = np.concatenate((self.score[rows], score), axis=1)
+        named = np.concatenate((self.ids[rows], np.broadcast_to(ids, score.shape)), axis=1)
+        at = np.lexsort((named, -both), axis=1)[:, : self.k]
+        self.score[rows], self.ids[rows] = np.take_along_axis(both, at, 1), np.take_along_axis(named, at, 1)
+        self.least[rows] = np.maximum(self.least[rows], self.score[rows, -1])
+
+
+def search(x: np.ndarray, allowed: Callable[[np.ndarray, slice], np.ndarray], least: np.ndarray, held: dict[int, tuple[np.ndarray, np.ndarray, slice]], cells: Cells, k: int, digits: int, tile: int = TILE) -> tuple[Best, int, int]:
+    """(best of each of the unit vectors `x`, pairs of a vector of `x` and a cell, those that were passed over).
+
+    held: of each cell (ids, unit vectors, their place). By the triangle inequality no vector of a cell has a higher score
+    than the centre's and the radius; a cell that can't beat a row's k-th score so far, or `least`, is passed over.
+    """
+    best, seen, passed = Best(len(x), k, least), 0, 0
+    bound = x @ cells.centres.T + cells.radius
+    for cell in sorted(held, key=lambda c: -bound[:, c].mean()):
+        ids, vectors, place = held[cell]
+        rows = np.flatnonzero(bound[:, cell] >= best.least - 10.0**-digits)
+        seen, passed = seen + len(x), passed + len(x) - len(rows)
+        step = max(1, tile // max(1, len(rows)))
+        for i in range(0, len(vectors), step):
+            for j in range(0, len(rows), tile):
+                some, at = rows[j : j + tile], slice(place.start + i, place.start + min(i + step, len(vectors)))
+                score = np.round(x[some] @ vectors[i : i + step].T, digits)
+                best.add(some, np.where(allowed(some, at), score, -np.inf), ids[i : i + step])
+    return best, seen, passed
+
+
+def top_k(candidates: DataFrame, vectors: DataFrame, k: int = V.TOP_K, digits: int = 6, counts: tuple | None = None) -> DataFrame:
     """(candidate_id, job_id, cosine_score, rank) of the k nearest of `vectors` (job_id, embedding, ...) to each of
     `candidates` (candidate_id, embedding, ...), exact.
 
     Of jobs that a candidate may not be shown (`eligible`, by needs_sponsorship and user_degree_rank of candidates,
     sponsorship_not_available and min_degree_rank of vectors; what is not there bars nothing) none is counted, so k
-    eligible ones are found. Vectors stay where they are: blocks of candidates of at most BLOCK_BYTES are sent to their
-    tasks one after the other, each task keeps its best k, and the best of these are kept of all. Rows without a vector,
-    or of another length than the candidates', are left out. Scores are rounded before ranking; ties by job_id.
+    eligible ones are found. Rows without a vector, or of another length than the candidates', are left out. Scores are
+    rounded before ranking; ties by job_id.
+
+    Vectors are put in lists by k-means cell, fitted on at most SAMPLE of them, and dealt to tasks of PART_BYTES. The
+    candidates are a table of blocks of BLOCK_BYTES in the shared folder, with a lower bound of their k-th score from
+    the sample; each task reads it block by block once, passing over cells that can't beat that bound or the k-th score
+    so far, and holds TILE scores at a time. `counts`: two accumulators, of pairs of a candidate and a cell, and of
+    those passed over.
     """
+    spark = candidates.sparkSession
     with_rules = {"needs_sponsorship", "user_degree_rank"} <= set(candidates.columns) and {"sponsorship_not_available", "min_degree_rank"} <= set(vectors.columns)
     needs, rank = (F.coalesce("needs_sponsorship", F.lit(False)), F.coalesce("user_degree_rank", F.lit(-1)).cast("int")) if with_rules else (F.lit(False), F.lit(-1))
     bar, degree = (F.coalesce(F.col("sponsorship_not_available") != "yes", F.lit(False)), F.coalesce("min_degree_rank", F.lit(-1)).cast("int")) if with_rules else (F.lit(True), F.lit(-1))
-    asked = candidates.where("embedding IS NOT NULL").select("candidate_id", "embedding", needs.alias("needs"), rank.alias("rank"))
-    dims = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    dim = dims["dim"] or 0
-    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
-    v = vectors.where((F.size("embedding") == dim) & whole).select("job_id", "embedding", bar.alias("open"), degree.alias("degree"))
-    asked = asked.where((F.size("embedding") == dim) & whole)
-    blocks = max(1, -(-dims["n"] * (dim * 8 + 64) // BLOCK_BYTES))
-    kind = "candidate_id long, job_id long, cosine_score double"
-    near = None
-    for number in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)) == number).toArrow().combine_chunks()  # of a proven size
-        part = v.mapInArrow(_searcher(mine, k, digits), kind)
-        near = part if near is None else near.unionByName(part)
-    place = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("cosine_score"), "job_id"))
-    return near.withColumn("rank", place).where(F.col("rank") <= k)
-
-
-def _searcher(asked: pa.Table, k: int, digits: int):
+    asked = candidates.where("embedding IS NOT NULL").select(F.col("candidate_id").cast("long").alias("candidate_id"), "embedding", needs.alias("needs"), rank.alias("rank"))
+    dim = asked.agg(F.max(F.size("embedding"))).first()[0] or 0
+    whole = (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    v = vectors.where(whole).select(F.col("job_id").cast("long").alias("job_id"), F.col("embedding").cast("array<double>").alias("embedding"), bar.alias("open"), degree.alias("degree"))
+    sample = v.orderBy(F.xxhash64("job_id"), "job_id").limit(SAMPLE).toArrow().combine_chunks()
+    if not len(sample):
+        return spark.createDataFrame([], "candidate_id long, job_id long, cosine_score double, rank int")
+    drawn = {"x": _unit(_column(sample, "embedding")), "open": _flags(sample, "open"), "degree": _column(sample, "degree").to_numpy(zero_copy_only=False)}
+    centres = fit_cells(drawn["x"])
+
+    def place(batches):
+        cells = Cells(centres, np.zeros(len(centres)))
+        for batch in batches:
+            if batch.num_rows:
+                cell, away = cells.nearest(_unit(batch.column("embedding")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    placed = staged(v.mapInArrow(place, "job_id long, embedding array<double>, open boolean, degree int, cell long, away double"), "placed")
+    found = {r.cell: r for r in placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # a row per cell
+    n = sum(r.n for r in found.values())
+    cells = Cells(centres, np.array([found[c].radius if c in found else -np.inf for c in range(len(centres))]))
+    block = max(1, BLOCK_BYTES // (dim * 8 + 64))
+
+    def bound(batches):
+        for batch in batches:
+            for some in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+                score = np.round(_unit(some.column("embedding")) @ drawn["x"].T, digits)
+                score[~eligible(drawn["open"], drawn["degree"], _flags(some, "needs"), some.column("rank").to_numpy(zero_copy_only=False))] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(least)], names=[*some.schema.names, "least"])
+
+    folder = fresh_folder(spark, "candidates")
+    asked.where(whole).withColumn("embedding", F.col("embedding").cast("array<double>")).mapInArrow(bound, "candidate_id long, embedding array<double>, needs boolean, rank int, least double").write.option("maxRecordsPerFile", block).parquet(folder)
+    parts = max(1, -(-n * (dim * 8 + 32) // PART_BYTES))
+    dealt = placed.drop("away").repartitionByRange(parts, "cell", F.xxhash64("job_id")).sortWithinPartitions("cell")
+    near = dealt.mapInArrow(_searcher(folder, cells, k, digits, counts), "candidate_id long, job_id long, cosine_score double")
+    order = F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("cosine_score"), "job_id"))
+    return near.withColumn("rank", order).where(F.col("rank") <= k)
+
+
+def _column(t, name: str):
+    c = t.column(name)
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _flags(t, name: str) -> np.ndarray:
+    return _column(t, name).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _searcher(folder: str, cells: Cells, k: int, digits: int, counts: tuple | None):
     schema = pa.schema([("candidate_id", pa.int64()), ("job_id", pa.int64()), ("cosine_score", pa.float64())])
 
     def run(batches):
-        if not len(asked):
+        own = [b for b in batches if b.num_rows]  # of one task's vectors
+        if not own:
             return
-        column = lambda t, c: t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)
-        ids, needs, ranks = (column(asked, c).to_numpy(zero_copy_only=False) for c in ("candidate_id", "needs", "rank"))
-        x = _unit(column(asked, "embedding"))
-        best_ids, best = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
-        for batch in batches:
-            if not batch.num_rows:
+        mine = pa.Table.from_batches(own).combine_chunks()
+        ids, cell, degree = (_column(mine, c).to_numpy(zero_copy_only=False) for c in ("job_id", "cell", "degree"))
+        x, open_ = _unit(_column(mine, "embedding")), _flags(mine, "open")
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+        held = {int(cell[a]): (ids[a:b], x[a:b], slice(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)}
+        store = Objects(folder)
+        for name in store.names(""):
+            if not name.endswith(".parquet"):
                 continue
-            jobs, open_, degree = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("job_id", "open", "degree"))
-            score = np.round(x @ _unit(batch.column("embedding")).T, digits)
-            score = np.where(eligible(open_.astype(bool), degree, needs.astype(bool), ranks), score, -np.inf)
-            best = np.concatenate((best, score), axis=1)
-            best_ids = np.concatenate((best_ids, np.broadcast_to(jobs, score.shape)), axis=1)
-            if best.shape[1] > k:
-                at = np.lexsort((best_ids, -best), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(best, at, 1), np.take_along_axis(best_ids, at, 1)
-        row, col = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(best_ids[row, col]), pa.array(best[row, col])], schema=schema)
+            block = pq.read_table(io.BytesIO(store.get(name.lstrip("/"))))
+            if not len(block):
+                continue
+            needs, rank = _flags(block, "needs"), _column(block, "rank").to_numpy(zero_copy_only=False)
+            allowed = lambda rows, at: eligible(open_[at], degree[at], needs[rows], rank[rows])  # noqa: B023, E731
+            best, seen, passed = search(_unit(_column(block, "embedding")), allowed, _column(block, "least").to_numpy(zero_copy_only=False), held, cells, k, digits)
+            if counts:
+                counts[0].add(seen)
+                counts[1].add(passed)
+            row, col = np.nonzero(np.isfinite(best.score) & (best.score >= _column(block, "least").to_numpy(zero_copy_only=False)[:, None]))
+            people = _column(block, "candidate_id").to_numpy(zero_copy_only=False)
+            for i in range(0, len(row), 200_000):
+                r, c = row[i : i + 200_000], col[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(people[r]), pa.array(best.ids[r, c]), pa.array(best.score[r, c])], schema=schema)
 
     return run
 
@@ -95,13 +211,6 @@ def recall(candidates: DataFrame, jobs: DataFrame, embeddings: DataFrame, k: int
     return top_k(candidates, live.select("job_id", "sponsorship_not_available", "min_degree_rank").join(embeddings.select("job_id", "embedding"), "job_id"), k)
 
 
-def prefilter(pairs: DataFrame) -> DataFrame:
-    """Pairs whose job may be shown: without a sponsorship bar for who needs it, and within the candidate's degree."""
-    bar = F.col("needs_sponsorship") & (F.coalesce("sponsorship_not_available", F.lit("yes")) == "yes")
-    degree = (F.coalesce("min_degree_rank", F.lit(-1)) < 0) | (F.col("user_degree_rank") < 0) | (F.col("min_degree_rank") <= F.col("user_degree_rank"))
-    return pairs.where(~bar & degree)
-
-
 def match(candidates: DataFrame, jobs: DataFrame, embeddings: DataFrame, minimum: float = V.MIN_COSINE, k: int = V.TOP_K, top_n: int = V.TOP_N, max_gap: int = 1, digits: int = 6) -> DataFrame:
     """The best `top_n` jobs of each candidate, from recall to rerank.
 

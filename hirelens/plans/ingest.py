@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.operators import ingest as I  # noqa: E741
+from hirelens.operators import locations as L
 from hirelens.operators import snapshot as S
+from hirelens.plans.places import dims
 from hirelens.plans.registry import query
-from hirelens.sources.fixtures import JOBS_SQL, jobs, staged, table
+from hirelens.sources.fixtures import JOBS_SQL, jobs, table
+from hirelens.sources.store import fresh_folder
 
 PLATFORMS = tuple(I.MAPPERS)
 COUNTRIES = ("Canada", "France", "Japan")
@@ -70,8 +73,10 @@ def landed_pages(spark, sf_dir) -> DataFrame:
 
 
 def mapped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    good, failed = I.map_payloads(staged(I.unpack_pages(landed_pages(spark, sf_dir)), "landed"))
-    return staged(good, "postings"), staged(failed, "failed-sources")
+    """By way of the landed files."""
+    path = fresh_folder(spark, "landed")
+    landed_pages(spark, sf_dir).write.json(path)
+    return I.map_payloads(I.scan_raw(spark, path))
 
 
 def _case(values: dict, otherwise: str = "NULL") -> str:
@@ -104,21 +109,25 @@ def o21_failed_sources(spark, sf_dir):
     return mapped(spark, sf_dir)[1]
 
 
-@query(f"""{POSTS}, m AS (SELECT source_id, platform, id AS external_job_id, country, {_case({"smartrecruiters": "city", "apple": "city", "uber": "city", "tiktok": "city"})} AS c FROM p)
-  SELECT source_id, external_job_id, c AS city, CASE country WHEN 'Canada' THEN 'CA' WHEN 'France' THEN 'FR' END AS country_code, CASE WHEN country = 'Japan' AND c IS NULL AND platform = 'lever' THEN 0 ELSE 1 END AS n FROM m WHERE platform <> 'lever'
-  UNION ALL SELECT source_id, external_job_id, c, NULL, 1 FROM m WHERE platform = 'lever'""")
+_known = "CASE country WHEN 'Canada' THEN 'CA' WHEN 'France' THEN 'FR' END"
+
+
+@query(f"""{POSTS} SELECT source_id, id AS external_job_id, {_case({"smartrecruiters": "city", "apple": "city", "uber": "city", "tiktok": "city", "lever": "NULL"}, f"CASE WHEN {_known} IS NOT NULL THEN city END")} AS city, {_known} AS country_code,
+  {_case({"lever": "country"})} AS scope, 1 AS n FROM p""")
 def o22_hints(spark, sf_dir):
-    """Texts of two countries are known; hints have what is known, and the text as it was."""
+    """Place texts by the parser, country fields by the resolver, both against the dimensions and two more countries;
+    hints have what is known, and the text as it was."""
     good, _ = mapped(spark, sf_dir)
-    known = F.when(F.col("country_raw") == "Canada", "CA").when(F.col("country_raw") == "France", "FR")
-    countries = good.where("country_raw IS NOT NULL").select("country_raw").distinct().withColumn("country_code", known)
-    last = F.element_at(F.split("location_text", ", "), -1)
-    code = F.when(last == "Canada", "CA").when(last == "France", "FR")
-    none = F.lit(None).cast("string")
-    parsed = good.where("NOT is_structured").select("location_text").distinct().select("location_text", none.alias("city"), none.alias("region"), code.alias("country_code"), none.alias("remote_scope"))
-    hints = I.with_hints(good, parsed, countries)
+    countries, cities, admin1 = dims(spark, sf_dir)
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in countries.dtypes if c not in ("code", "name")}
+    more = spark.sql("SELECT * FROM VALUES ('CA', 'Canada'), ('FR', 'France') AS t(code, name)").select("code", "name", *none.values())
+    countries = countries.unionByName(more)
+    parsed = L.parse_locations(good.where("NOT is_structured").select("location_text").distinct(), countries, cities, admin1)
+    named = good.where("country_raw IS NOT NULL").select(F.col("country_raw").alias("text"), F.lit(True).alias("explicit")).distinct()
+    codes = L.resolve_countries(named, countries).select(F.col("text").alias("country_raw"), "country_code")
+    hints = I.with_hints(good, parsed, codes)
     first = F.get("location_hints", F.lit(0))
-    return hints.select("source_id", "external_job_id", first["city"].alias("city"), first["country_code"].alias("country_code"), F.size("location_hints").alias("n"))
+    return hints.select("source_id", "external_job_id", first["city"].alias("city"), first["country_code"].alias("country_code"), first["remote_scope"].alias("scope"), F.size("location_hints").alias("n"))
 
 
 @query(f"""WITH j AS ({JOBS_SQL}), m AS (SELECT 's' || (job_id % 40) AS source_id, CAST(job_id AS VARCHAR) AS external_job_id, job_id % 40 AS s, job_id % 3 <> 0 AS held, job_id % 7 <> 0 AS seen, title FROM j)
@@ -132,13 +141,24 @@ def o85_after_mapping(spark, sf_dir):
     return S.reconcile(held, S.last_wins(seen), at, ["title"], failed).select("source_id", "external_job_id", "action")
 
 
-@query("""SELECT o_orderkey, coalesce(n_lines, '0') AS status, CASE WHEN n_lines IS NULL THEN 'true' END AS failed, CASE WHEN n_lines IS NULL THEN o_orderstatus END AS kept FROM orders LEFT JOIN (
-  SELECT l_orderkey, CAST(count(*) AS VARCHAR) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) d ON o_orderkey = l_orderkey""")
-def o03_merge_payloads(spark, sf_dir):
+def _details(spark, sf_dir):
     pairs = lambda **f: F.map_from_arrays(F.array(*map(F.lit, f)), F.array(*f.values()))
     own = table(spark, sf_dir, "orders").select("o_orderkey", pairs(status=F.lit("0"), kept=F.col("o_orderstatus")).alias("fields"))
     n = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("string").alias("n"))
-    got = I.merge_payloads(own, n.select("o_orderkey", pairs(status=F.col("n"), kept=F.lit(None).cast("string")).alias("fields")), "o_orderkey", "flag")
+    return own, n.select("o_orderkey", pairs(status=F.col("n"), kept=F.lit(None).cast("string")).alias("fields"))
+
+
+@query("""SELECT l_orderkey AS o_orderkey, CAST(count(*) AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS kept FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def o03_merge_drop(spark, sf_dir):
+    """Rows without a detail are dropped."""
+    got = I.merge_payloads(*_details(spark, sf_dir), "o_orderkey", "drop")
+    return got.select("o_orderkey", F.col("fields")["status"].alias("status"), F.col("fields")["kept"].alias("kept"))
+
+
+@query("""SELECT o_orderkey, coalesce(n_lines, '0') AS status, CASE WHEN n_lines IS NULL THEN 'true' END AS failed, CASE WHEN n_lines IS NULL THEN o_orderstatus END AS kept FROM orders LEFT JOIN (
+  SELECT l_orderkey, CAST(count(*) AS VARCHAR) AS n_lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) d ON o_orderkey = l_orderkey""")
+def o03_merge_payloads(spark, sf_dir):
+    got = I.merge_payloads(*_details(spark, sf_dir), "o_orderkey", "flag")
     return got.select("o_orderkey", F.col("fields")["status"].alias("status"), F.col("fields")["_detail_fetch_failed"].alias("failed"), F.col("fields")["kept"].alias("kept"))
 
 

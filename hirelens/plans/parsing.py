@@ -106,15 +106,15 @@ _HEAD = ("Intro one", "Intro two with strong ability", "Intro three", "Intro fou
          "Who we are", "A firm", "Nice to have", "Go", "Equal opportunity employer here", "Swim", "Fly", "Requirements", "SQL with strong experience")
 
 
-@query(f"""WITH {J} SELECT job_id, 'Title: ' || title || chr(10) || chr(10) || CASE WHEN d <> 'unknown' THEN 'Domain: ' || replace(d, '_', ' ') || chr(10) || chr(10) ELSE '' END || 'Required skills: Python, SQL' || chr(10) || chr(10) || 'Core responsibilities:' || chr(10) ||
+@query(f"""WITH {J} SELECT job_id, 'Title: ' || title || chr(10) || chr(10) || CASE WHEN d <> 'unknown' THEN 'Domain: ' || replace(d, '_', ' ') || chr(10) || chr(10) ELSE '' END || CASE WHEN job_id % 3 = 0 THEN '' ELSE 'Required skills: Python, SQL' || chr(10) || chr(10) END || 'Core responsibilities:' || chr(10) ||
     '- Build the python platform' || chr(10) || '- Design things' || chr(10) || '- Mentor others' || chr(10) || '- Sit' || chr(10) || chr(10) || 'Must-have evidence:' || chr(10) || '- SQL with strong experience' || chr(10) || chr(10) || 'Optional context:' || chr(10) || '- Go' || chr(10) || '- Swim' || chr(10) || chr(10)
     || 'Additional role context:' || chr(10) || '- Intro two with strong ability' || chr(10) || '- Intro one' || chr(10) || CASE WHEN job_id % 2 = 0 THEN '- Role ' || job_id ELSE '- Intro three' END AS text
   FROM (SELECT *, {DOMAIN_SQL('title')} AS d FROM j)""")
 def o46_job_texts(spark, sf_dir):
-    """Some postings have a line of their own among the first."""
+    """Some postings have a line of their own among the first, some no lists of skills."""
     lines = list(_HEAD)
     body = F.concat_ws("\n", F.lit(lines[0]), F.lit(lines[1]), F.when(F.col("job_id") % 2 == 0, F.concat(F.lit("Role "), F.col("job_id").cast("string"))), *map(F.lit, lines[2:]))
-    rows = N.with_domain(jobs(spark, sf_dir), "title", "job_domain").select("job_id", "title", body.alias("description"), F.array(F.lit("Python"), F.lit("SQL")).alias("required_skills"), F.array(F.lit("Go")).alias("preferred_skills"), "job_domain", F.lit(None).cast("string").alias("seniority_level"))
+    rows = N.with_domain(jobs(spark, sf_dir), "title", "job_domain").select("job_id", "title", body.alias("description"), F.when(F.col("job_id") % 3 != 0, F.array(F.lit("Python"), F.lit("SQL"))).alias("required_skills"), F.when(F.col("job_id") % 5 != 0, F.array(F.lit("Go"))).alias("preferred_skills"), "job_domain", F.lit(None).cast("string").alias("seniority_level"))
     return X.job_texts(rows)
 
 

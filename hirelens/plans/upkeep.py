@@ -98,10 +98,17 @@ def o93_unknown_links(spark, sf_dir):
     return G.backfill_unknown_links(rows, links, "unknown", _at()).select("job_id", "location_id", "source_raw")
 
 
-@query("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 < 3 THEN 'unknown' ELSE 'sales' END AS job_domain_normalized, CASE WHEN o_orderkey % 5 < 3 THEN '{"a":"1"}' ELSE '{"a":"1","industry_raw":"x"}' END AS structured_jd FROM orders""")
+_STORED = '{"skills":["a, \\"b\\"", {"industry_raw": 1}], "years":%s, "note": null'
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS job_id, o_orderkey % 5 < 3 AS old, replace('{_STORED}', '%s', o_totalprice::DECIMAL(18,2)::VARCHAR || '0') AS head FROM orders)
+  SELECT job_id, CASE WHEN old THEN 'unknown' ELSE 'sales' END AS job_domain_normalized, CASE WHEN job_id % 7 = 0 THEN 'no JSON' WHEN old THEN replace(head, ', "years"', ',"years"').replace(', "note"', ',"note"') || '}}' ELSE head || ', "industry_raw" : "x" }}' END AS structured_jd FROM r""")
 def o93_reset_domains(spark, sf_dir):
+    """What is stored holds lists, objects, numbers and nulls; what stays is as it was written."""
     k = F.col("o_orderkey") % 5
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(k != 0, k).alias("structured_jd_version"), F.lit("s").alias("job_domain_raw"), F.lit("sales").alias("job_domain_normalized"), F.lit('{"a":"1","industry_raw":"x"}').alias("structured_jd"))
+    head = F.replace(F.lit(_STORED), F.lit("%s"), F.concat(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("0")))
+    stored = F.when(F.col("o_orderkey") % 7 == 0, "no JSON").otherwise(F.concat(head, F.lit(', "industry_raw" : "x" }')))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(k != 0, k).alias("structured_jd_version"), F.lit("s").alias("job_domain_raw"), F.lit("sales").alias("job_domain_normalized"), stored.alias("structured_jd"))
     return G.reset_old_domains(rows).select("job_id", "job_domain_normalized", "structured_jd")
 
 

@@ -7,6 +7,10 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table that may be sent to every executor.
+MAX_BROADCAST = 48_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +34,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, max_bytes: int = MAX_BROADCAST) -> DataFrame:
+    """`df` (staged, since it is read here) with a broadcast hint if its rows' JSON has at most `max_bytes`, else as it
+    is, for a join by shuffle."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 class Objects:
     """Named objects below a folder, for use in tasks. An object appears whole or not at all, and is never replaced."""
 

@@ -133,3 +133,76 @@ def test_label_rerank(spark):
     got = {r.job_id: r for r in M.label_rerank(ranked, labels, 3).collect()}
     assert [got[j].place for j in "cbad"] == [1, 2, 3, 4]
     assert got["c"].adjusted_score == 0.92 and not got["b"].enriched and got["d"].label is None
+
+
+def _near_by_all_pairs(x, y, k, allowed):
+    import numpy as np
+
+    x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, y))
+    score = np.where(allowed, np.round(x @ y.T, 6), -np.inf)
+    out = []
+    for i, row in enumerate(score):
+        order = sorted((-s, j) for j, s in enumerate(row) if np.isfinite(s))[:k]
+        out += [(i, j, -s, r) for r, (s, j) in enumerate(order, 1)]
+    return out
+
+
+def test_top_k_passes_over_cells_and_is_exact(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    heart = rng.normal(size=(12, 16))
+    y = heart[rng.integers(0, 12, 3000)] + 0.15 * rng.normal(size=(3000, 16))
+    x = heart[rng.integers(0, 12, 60)] + 0.15 * rng.normal(size=(60, 16))
+    y[5], y[6] = y[4], y[4]  # ties
+    bars, degree = rng.random(3000) < 0.3, rng.integers(-1, 4, 3000)
+    needs, rank = rng.random(60) < 0.5, rng.integers(-1, 4, 60)
+    jobs = spark.createDataFrame([(i, v.tolist(), "yes" if b else "no", int(d)) for i, (v, b, d) in enumerate(zip(y, bars, degree))], "job_id long, embedding array<double>, sponsorship_not_available string, min_degree_rank int")
+    people = spark.createDataFrame([(i, v.tolist(), bool(n), int(r)) for i, (v, n, r) in enumerate(zip(x, needs, rank))], "candidate_id long, embedding array<double>, needs_sponsorship boolean, user_degree_rank int")
+    for sizes in ({"SAMPLE": 500, "CELLS": 20, "PART_BYTES": 40_000, "BLOCK_BYTES": 3000, "TILE": 700}, {}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(M, name, value)
+        counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        got = sorted(map(tuple, M.top_k(people, jobs, k=10, counts=counts).collect()))
+        allowed = (~needs[:, None] | ~bars[None, :]) & ((rank[:, None] < 0) | (degree[None, :] <= rank[:, None]))
+        assert got == sorted(_near_by_all_pairs(x, y, 10, allowed))
+        assert counts[1].value > 0.5 * counts[0].value  # more than half of the cells are never looked into
+        monkeypatch.undo()
+    odd = people.select("candidate_id", F.when(F.col("candidate_id") % 2 == 0, F.col("embedding")).alias("embedding"))
+    assert M.top_k(odd, jobs.select("job_id", "embedding"), k=3).count() == 90
+    assert M.top_k(odd, jobs.select("job_id", "embedding").where("false"), k=3).count() == 0
+
+
+def test_top_k_holds_tiles_of_scores():
+    """A block of 27,777 candidates against a part's vectors, within a gigabyte."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, resource
+from hirelens.operators import matching as M
+rng = np.random.default_rng(0)
+unit = lambda n: (lambda a: a / np.linalg.norm(a, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+x, y = unit(27777), unit(1500)
+cells = M.Cells(M.fit_cells(y[:400], 4), np.full(4, 2.0))
+own = cells.nearest(y)[0]
+held, at = {}, 0
+for c in range(4):
+    ids = np.flatnonzero(own == c)
+    held[c] = (ids, y[ids], slice(at, at + len(ids)))
+    at += len(ids)
+best, seen, passed = M.search(x, lambda rows, at: np.ones((len(rows), at.stop - at.start), bool), np.full(len(x), -np.inf), held, cells, 200, 6)
+assert np.isfinite(best.score).all()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(run.stdout) < 1024
+
+
+def test_reset_leaves_other_members_as_they_are(spark):
+    from hirelens.operators import ledger as G
+
+    raws = ['{"a":[1, "x,}"],"industry_raw":{"b":"}"} , "n":1.50}', '{ "industry_raw" : "x" }', "{}", "[1]", "broken {", '{"a":"\\u00e9\\"" }', None, '{"job_domain_raw":null,"z":{}}']
+    rows = spark.createDataFrame([(i, None, "d", "sales", r) for i, r in enumerate(raws)], "job_id long, structured_jd_version int, job_domain_raw string, job_domain_normalized string, structured_jd string")
+    got = [r.structured_jd for r in G.reset_old_domains(rows).orderBy("job_id").collect()]
+    assert got == ['{"a":[1, "x,}"],"n":1.50}', "{}", "{}", "[1]", "broken {", raws[5], None, '{"z":{}}']
