@@ -143,7 +143,7 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     pos, a conversation's `rendered` is its ChatML text.
 
     Turns are ordered by turn, then role and text; nulls first. Roles are trimmed and lower-cased; null and unknown
-    ones must be relabelled. A null text is empty. Rows without a conv_id are one conversation. Repeated rows
+    ones must be relabelled. A null text is empty. `<|` in a text becomes `< |`, so that no text opens or closes a turn. Rows without a conv_id are one conversation. Repeated rows
     are turns of their own. Every conversation gets exactly one `end` row, whose `rendered` closes it. Other columns
     are ignored.
     """

@@ -217,9 +217,9 @@ def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
     carried = [c for c in docs.columns if c not in names and (with_text or c != "text")]
-    own = [c for c in carried if c in ("language", "__length")]
-    docs = docs.withColumnsRenamed({c: f"__own_{c}" for c in own})
-    inner = [f"__own_{c}" if c in own else c for c in carried]
+    # but text and lang the carried columns have names of their own, which no inner column has
+    inner = [c if c in ("text", "lang") else f"__own_{i}" for i, c in enumerate(carried)]
+    docs = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(carried, inner, strict=True)), *([] if "text" in carried else ["text"]))
     measured = _measured(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS, inner)
     judged = _fenced(materialize(measured.withColumn("language", _language(measured)), "measures"))
     return judged.select(*(F.col(a).alias(b) for a, b in zip(inner, carried, strict=True)), *names)

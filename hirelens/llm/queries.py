@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from hirelens.llm import chat, decontaminate, lang_id, line_dedup, packing, periodic_runs, quality, sharding, simhash, token_alignment, token_blocks, toxicity, url_filter
+from hirelens.llm import chat, decontaminate, lang_id, line_dedup, packing, periodic_runs, pipeline, quality, sharding, simhash, token_alignment, token_blocks, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -22,5 +21,5 @@ QUERIES = {
         sharding.op12_sharding,
         periodic_runs.op13_periodic_runs,
     )
-} | {"pipeline": corpus_pipeline.run}
+} | {"pipeline": pipeline.run}
 ORACLES = {"op1_url_filter": url_filter.oracle(), "op4_decontaminate": decontaminate.oracle(), "op5_line_dedup": line_dedup.oracle()}

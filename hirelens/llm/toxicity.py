@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.llm.encoding import slices
-from hirelens.llm.shared import bounded_broadcast, materialize, table
+from hirelens.llm.shared import bounded_broadcast, materialize, row_key, table
 
 BITS, MAX_ROWS, MAX_FEATURES, MIN_ROWS = 24, 6000, 60_000, 5
 #: Letters of the beginnings that count as features beside whole words; distinct words that a worker remembers.
@@ -187,13 +187,18 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain:
     """Fits (low_quality, toxic) on `labels` (doc_id, quality, toxic) and the texts of `docs` (doc_id, text).
 
-    The sample is bounded: the `max_rows` labelled ids of lowest hash. Only their word hashes reach the driver. Null
-    labels teach nothing; of repeated ids the worst label counts; labels without a document are passed over.
+    The sample is bounded: the `max_rows` labelled ids of lowest hash, and of documents that share an id the one of
+    smallest `row_key`. Only their word hashes reach the driver. Null labels teach nothing; of repeated ids the worst
+    label counts; labels without a document are passed over. Ties: rows that are as likely as the threshold says are
+    toxic, all of them.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
     known = known.agg(F.max(1 - F.col("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
     drawn = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "labelled")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(bounded_broadcast(drawn), F.col("id") == F.col("doc_id"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text", row_key().alias("key")).join(bounded_broadcast(drawn), F.col("id") == F.col("doc_id"))
+    # one row of an id: keys first, since texts of a repeated id would be gathered
+    least = materialize(texts.groupBy("doc_id").agg(F.min("key").alias("key")), "labelled-rows")
+    texts = texts.join(bounded_broadcast(least), ["doc_id", "key"]).dropDuplicates(["doc_id"])
     kind = pa.schema([("doc_id", pa.int64()), ("low_quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.list_(pa.int32()))])
 
     def run(batches):

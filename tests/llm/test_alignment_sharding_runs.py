@@ -40,9 +40,10 @@ def whole(aligner, text):
     if b"".join(aligner.bytes_a[i] for i in ids_a) != (" " + text).encode() or b"".join(aligner.bytes_b[i] for i in ids_b) != (" " + text).encode():
         return []
     ends_a, ends_b = (np.cumsum([len(known[i]) for i in ids]).tolist() for known, ids in ((aligner.bytes_a, ids_a), (aligner.bytes_b, ids_b)))
+    at_a, at_b = ({end: i for i, end in enumerate(ends, 1)} for ends in (ends_a, ends_b))
     out, x, y = [], 0, 0
     for end in sorted(set(ends_a) & set(ends_b)):
-        i, j = ends_a.index(end) + 1, ends_b.index(end) + 1
+        i, j = at_a[end], at_b[end]
         out.append((ids_a[x:i], ids_b[y:j]))
         x, y = i, j
     return out
@@ -168,17 +169,13 @@ def test_sharding_awkward(spark, docs):
 
 
 def runs_by_brute_force(words):
-    out = set()
+    out, ids = set(), np.unique(np.array(words, object), return_inverse=True)[1] if words else np.zeros(0, int)
     for q in range(1, len(words) // 4 + 1):
-        i = 0
-        while i + q < len(words):
-            j = i
-            while j + q < len(words) and words[j] == words[j + q]:
-                j += 1
-            run = words[i : j + q]
-            if j > i and len(run) >= max(6, 4 * q) and not any(run[r:] == run[:-r] for r in range(1, q)):
-                out.add((i, len(run), q))
-            i = max(j, i + 1)
+        same = np.concatenate(([0], (ids[q:] == ids[:-q]).astype(int), [0]))
+        for i, j in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1), strict=True):
+            run = ids[i : j + q].tolist()
+            if len(run) >= max(6, 4 * q) and not any(run[r:] == run[:-r] for r in range(1, q)):
+                out.add((int(i), len(run), q))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
@@ -216,11 +213,11 @@ def test_runs_query(spark):
 
 def test_runs_awkward(spark, docs, monkeypatch):
     monkeypatch.setattr(periodic_runs, "TOGETHER", 20)
-    more = [(20, "a " * 6, ), (21, "a " * 5), (22, "x " + "a b c " * 3 + "a b"), (23, "x " + "a b c " * 4 + "\x0b y"), (24, "a a a a a a b b b b b b")]
+    more = [(20, "a " * 6), (21, "a " * 5), (22, "x " + "a b c " * 3 + "a b"), (23, "x " + "a b c " * 4 + "\u00a0 y"), (24, "a a a a a a b b b b b b")]
     rows = docs.select("doc_id", "text", "k").unionByName(spark.createDataFrame([(*r, "k") for r in more], "doc_id long, text string, k string"))
     want = sorted((runs_row(r.doc_id, r.text, False) for r in rows.where("text is null or length(text) < 1000").collect()), key=str)
     got = periodic_runs.periodic_runs(rows, keep_texts=True)
     kept = {r.doc_id: (r.collapsed, r.runs) for r in got.collect()}
-    assert kept[22][0] == more[2][1].strip() and kept[23][0] == "x a b c  y" and kept[24][0] == "a b" and tuple(kept[23][1][0]) == (1, 12, 3)
+    assert kept[22][0] == more[2][1].strip() and kept[23][0] == "x a b c \u00a0 y" and kept[24][0] == "a b" and tuple(kept[23][1][0]) == (1, 12, 3)
     assert sorted((tuple(r) for r in got.where("doc_id is null or doc_id <> 6").drop("collapsed", "runs").collect()), key=str) == want
     assert periodic_runs.periodic_runs(docs.where("false")).collect() == []

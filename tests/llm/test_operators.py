@@ -686,3 +686,39 @@ def test_pipeline_stages_on_awkward_and_no_rows(spark, docs, none, tmp_path):
                 assert name == "simhash_dedup" or name == "quality_rules" or out.count() == before.count()
             assert stage(spark, some, str(tmp_path)).count() >= 0
             before = out
+
+
+def test_a_crowd_of_near_copies_is_joined_without_all_pairs(spark, monkeypatch):
+    seen = {}
+    real = near_copies.materialize
+    monkeypatch.setattr(near_copies, "materialize", lambda df, label: seen.setdefault(label, real(df, label)))
+    base = [f"u{x}" for x in range(400)]
+    rows = [(i, " ".join([*base[: i % 390], f"e{i}", *base[i % 390 + 1 :]])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in near_copies.drop_near_copies(docs, part=50).collect()] == [0]
+    assert seen["crowds"].count() == 1 and seen["open-buckets"].count() == 0  # nothing is left to be dealt out as pairs of parts
+    assert seen["band-links"].count() <= 32 * len(rows)
+
+
+def test_quality_with_clashing_names(spark):
+    names = ["__chars_per_token", "__length", "language", "__own_0", "n_words", "__token_entropy"]
+    docs = shared.table(spark, SMALL, "documents").select("doc_id", "text", "lang", *(F.lit(7).alias(c) for c in names))
+    got = quality.measure_quality(docs)
+    assert {tuple(r) for r in got.select(*(c for c in names if c != "n_words")).distinct().collect()} == {(7,) * 5}
+    plain = quality.measure_quality(docs.select("doc_id", "text", "lang"))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "kept").collect())) == sorted(map(tuple, plain.select("doc_id", "n_words", "kept").collect()))
+
+
+def test_a_stage_keeps_the_documents_own_columns(spark):
+    docs = shared.table(spark, SMALL, "documents").select("*", F.lit(7).alias("n_removed"), F.lit(8).alias("n_lines"), F.lit(9).alias("__0"))
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SMALL)
+    assert got.columns == docs.columns and {tuple(r) for r in got.select("n_removed", "n_lines", "__0").distinct().collect()} == {(7, 8, 9)}
+
+
+def test_toxicity_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    rows = []
+    monkeypatch.setattr(toxicity, "fit", lambda hashes, *rest: rows.append(len(hashes)))
+    toxicity.train(docs, labels, max_rows=10)
+    assert rows == [3]
