@@ -6,7 +6,9 @@ smallest shingle hashes, as many as its class needs: an item of q shingles may m
 of them, so one more than that of the class's largest size always meets a document that contains enough. A class's
 largest sketched hash is its rate: a document's sketch for the class is its own hashes up to that rate, drawn from the
 whole text, so that a passage is as well sketched in a long document as in a short one. A document is sketched only for
-the classes whose least item it could contain. Candidates are then counted exactly, on the shingles' words.
+the classes whose least item it could contain. The rate grows with the number of items, so a Bloom filter of all sketched
+hashes, a constant of the plan, leaves of a document's sketch what an item may have: what is searched for depends on what
+documents contain and not on how many items there are. Candidates are then counted exactly, on the shingles' words.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.llm.shared import bounded_broadcast, materialize, row_key, table
+from hirelens.llm.url_filter import Level, _bits
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Bits of the sketched hashes' filter: for each of them, and in all (a megabyte). Beyond, more passes by chance.
+BITS_PER_HASH, MAX_BITS = 16, 7 << 20
 
 
 def norm_words(text: Column) -> Column:
@@ -62,33 +67,53 @@ def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.select("item_id", "item_key", "width", "shingles", "n", "need", "size_class", F.slice(F.array_sort("hashes"), F.lit(1), keep).alias("sketch"))
 
 
-def _up_to(hashes: Column, rate: Column) -> Column:
-    return F.filter(hashes, lambda h: h <= rate)
+def _filter_of(hashes: DataFrame) -> Level:
+    """A Bloom filter of the distinct `hashes` (h)."""
+    n = max(1, hashes.count())
+    n_bits = min(MAX_BITS, max(64, BITS_PER_HASH * n))
+    n_hashes = max(1, min(4, round(n_bits / n * 0.7)))
+    return Level(0, n_bits, n_hashes, _bits(hashes.select(F.col("h").alias("key")), 0, n_hashes, n_bits))
 
 
-def _doc_sketch(w: Column, classes: list) -> Column:
+def _up_to(hashes: Column, rate: Column, listed: Level) -> Column:
+    return F.filter(hashes, lambda h: (h <= rate) & listed.has(h))
+
+
+def _doc_sketch(w: Column, classes: list, listed: Level) -> Column:
     """The hashes that a document is searched by: of each width, those up to the largest rate of the size classes
-    whose least item it could contain."""
+    whose least item it could contain, as far as they may be an item's."""
     out = []
     for width in sorted({c["width"] for c in classes}):
         rate = F.lit(None).cast("long")
         for c in classes:
             if c["width"] == width:
                 rate = F.greatest(rate, F.when(F.size(w) - width + 1 >= c["need"], F.lit(c["rate"])))
-        out.append(_up_to(shingle_hashes(w, width), rate))
+        out.append(_up_to(shingle_hashes(w, width), rate, listed))
     return F.concat(*out) if out else F.array().cast("array<bigint>")
 
 
+def sketched_share(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> float:
+    """What share of the five-word shingles of `docs` is searched for, as `contained_items` does."""
+    sketched = materialize(item_sketches(items, threshold), "sketches")
+    classes = sketched.groupBy("width", "size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("rate")).collect()
+    listed = _filter_of(materialize(sketched.select(F.explode("sketch").alias("h")).distinct(), "sketch-hashes"))
+    split = docs.select(norm_words(F.col("text")).alias("w"))
+    searched, every = split.agg(F.sum(F.size(_doc_sketch(F.col("w"), classes, listed))), F.sum(F.size(shingle_hashes(F.col("w"))))).first()
+    return (searched or 0) / max(1, every or 0)
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(k, id, item_id, n_item_shingles, n_found) of each row of `docs` (doc_id, text) and each item that it contains;
     k is the row's `row_key`, id its doc_id."""
     sketched = materialize(item_sketches(items, threshold), "sketches")
     # a row for each width and power of two that occurs
     classes = sketched.groupBy("width", "size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("rate")).collect()
-    sketches = bounded_broadcast(materialize(sketched.select(F.explode("sketch").alias("h")).distinct(), "sketch-hashes"))
+    sketches = materialize(sketched.select(F.explode("sketch").alias("h")).distinct(), "sketch-hashes")
+    listed = _filter_of(sketches)
+    sketches = bounded_broadcast(sketches)
     split = docs.select(row_key().alias("k"), F.col("doc_id").alias("id"), norm_words(F.col("text")).alias("w"))
     # explode_outer: for explode, Spark infers a filter on the array's size and would split every text anew for it
-    tried = split.select("k", "id", F.explode_outer(_doc_sketch(F.col("w"), classes)).alias("h"))
+    tried = split.select("k", "id", F.explode_outer(_doc_sketch(F.col("w"), classes, listed)).alias("h"))
     candidates = bounded_broadcast(materialize(tried.join(sketches, "h", "left_semi").select("k", "id").distinct(), "candidates"))
     text = docs.select(row_key().alias("k"), F.col("doc_id").alias("id"), F.col("text"))
     whole = text.join(candidates, (text["k"] == candidates["k"]) & text["id"].eqNullSafe(candidates["id"]), "left_semi").dropDuplicates(["k", "id"])

@@ -722,3 +722,13 @@ def test_toxicity_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda hashes, *rest: rows.append(len(hashes)))
     toxicity.train(docs, labels, max_rows=10)
     assert rows == [3]
+
+
+@pytest.mark.parametrize("n_items", [40, 20_000])
+def test_what_is_searched_for_does_not_grow_with_the_items(spark, n_items):
+    words = lambda lead, n: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.concat(F.lit(lead), F.col("id"), F.lit("w"), k)), " ")
+    items = spark.range(n_items).select(F.col("id").alias("item_id"), words("i", 60).alias("text"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words("f", 400), F.when(F.col("id") < 20, words("i", 55)), words("g", 400)).alias("text"))
+    assert decontaminate.sketched_share(docs, items) < 0.02
+    found = decontaminate.find_contaminated(docs, items).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(i, i) for i in range(20)]
