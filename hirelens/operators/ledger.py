@@ -11,27 +11,102 @@ from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions.fold import composed
+from hirelens.operators.snapshot import reconcile
+from hirelens.sources.store import staged
 
 COUNTERS = ("fetched", "mapped", "unique_rows", "deduped", "inserted", "updated", "closed", "failed")
 LEDGER = "run_id string, source_id string, status string, started_at timestamp, finished_at timestamp, error_summary string, " + ", ".join(f"{c} long" for c in COUNTERS)
 TARGET = ("embedding_kind", "embedding_target_revision", "embedding_model", "embedding_dim")
 
 
-def write_state(df: DataFrame, root: str) -> str:
-    """Writes a table's next version as a folder of its own, then names it in the pointer table. Readers keep the
-    version they have; a job that is lost before the pointer leaves the old state."""
-    version = uuid.uuid4().hex
+class StateConflict(Exception):
+    """Another writer has put a version on the one that this writer began with."""
+
+
+def _pointers(spark: SparkSession, root: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def newest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """(number, what the pointer says) of the newest version; 0 and nothing if there is none."""
+    folder, fs = _pointers(spark, root)
+    if not fs.exists(folder):
+        return 0, {}
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder))
+    names = [n for n in names if n.isdigit()]
+    if not names:
+        return 0, {}
+    said = spark.read.text(f"{root}/pointer/{names[-1]}", wholetext=True).first()
+    return int(names[-1]), json.loads(said[0])
+
+
+def point(spark: SparkSession, root: str, base: int, said: dict) -> None:
+    """Makes `said` version base + 1. Its file is created only if it isn't there, so of two writers that began with the
+    same version one fails."""
+    folder, fs = _pointers(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{base + 1:010d}")
+    own = spark._jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
+    fs.mkdirs(folder)
+    if fs.exists(path):
+        raise StateConflict(f"{root} has a version {base + 1} by another writer")
+    out = fs.create(own, False)
+    out.write(bytearray(json.dumps(said).encode()))
+    out.close()
+    try:
+        claimed = fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"claim-{base + 1:010d}"))
+    except Exception as e:  # noqa: BLE001  whatever the file system says, the claim isn't ours
+        raise StateConflict(f"{root}: version {base + 1} can't be claimed") from e
+    if not claimed or not fs.rename(own, path):
+        raise StateConflict(f"{root} has a version {base + 1} by another writer")
+
+
+def write_state(df: DataFrame, root: str, base: int | None = None) -> str:
+    """Writes a table's next version as a folder of its own, then names it by the next pointer. Readers keep the version
+    they have; a job that is lost before the pointer leaves the old state. base: the number of the version that `df` was
+    made from (default: the newest now); raises StateConflict if it isn't the newest any more."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    base = newest(spark, root)[0] if base is None else base
     df.write.parquet(f"{root}/versions/{version}")
-    pointer = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    point(spark, root, base, {"version": version})
     return version
 
 
 def read_state(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     """The table's newest version, or the one that is named."""
-    if version is None:
-        version = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at"), F.desc("version")).first()["version"]
-    return spark.read.parquet(f"{root}/versions/{version}")
+    return spark.read.parquet(f"{root}/versions/{version or newest(spark, root)[1]['version']}")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def reconcile_buckets(spark: SparkSession, root: str, snapshot: DataFrame, ts: Column, payload: list[str], buckets: int = 64, **how) -> tuple[DataFrame, list[int]]:
+    """(changed rows with `action`, buckets that were written): brings `snapshot` (as for `snapshot.reconcile`) into the
+    stored state at `root`, which is kept by bucket of source_id. Only the buckets of the snapshot's sources are read and
+    written; the next pointer names their new folders beside the other buckets' old ones. Raises StateConflict if another
+    writer was faster. A bucket's rows are spread over its files as the join left them, so a large source is no one
+    task."""
+    base, said = newest(spark, root)
+    folders = said.get("buckets", {})
+    snapshot = staged(snapshot, "snapshot")
+    touched = sorted(r.bucket for r in snapshot.select(_bucket(buckets)).distinct().collect())  # no more than buckets
+    kinds = dict(snapshot.dtypes)
+    schema = "source_id string, external_job_id string, id string, status string, last_seen_at timestamp, created_at timestamp, updated_at timestamp, " + ", ".join(f"`{c}` {kinds[c]}" for c in payload)
+    old = [folders[str(b)] for b in touched if str(b) in folders]
+    held = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+    new = staged(reconcile(held, snapshot, ts, payload, **how).select("*", _bucket(buckets)), "reconciled")
+    path = f"{root}/versions/{uuid.uuid4().hex}"
+    new.drop("action").write.partitionBy("bucket").parquet(path)
+    made = {str(r.bucket): f"{path}/bucket={r.bucket}" for r in new.select("bucket").distinct().collect()}
+    point(spark, root, base, {"buckets": folders | made, "schema": schema})
+    return new.where("action <> 'keep'").drop("bucket"), sorted(map(int, made))
+
+
+def read_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state that `reconcile_buckets` has written."""
+    said = newest(spark, root)[1]
+    return spark.read.schema(said["schema"]).parquet(*said["buckets"].values())
 
 
 def start_runs(ledger: DataFrame, sources: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:

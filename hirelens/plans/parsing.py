@@ -144,19 +144,32 @@ def o48_candidate_features(spark, sf_dir):
     return got.select("candidate_id", "needs_sponsorship", "user_degree_rank", F.array_join("user_skills", "|").alias("skills"), "user_seniority")
 
 
-@query("SELECT c_custkey AS candidate_id, 'Sells ' || c_mktsegment AS summary, 'SQL|sql|C++' AS skills, '[\"did a\",\"did b\"]' AS bullets, 'Place 1' AS place FROM customer")
+@query("""SELECT c_custkey AS candidate_id, 'Sells ' || c_mktsegment AS summary, 'SQL|sql|C++' AS skills, '["did a","did b"]' AS bullets,
+  'Place ' || CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 0 ELSE c_custkey % 4 END || '/City/R/QA/raw [REDACTED]/hybrid/EU' AS place, 3 AS n_places, 'full-time/Dept ' || c_nationkey || '/' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Team' END AS org,
+  CASE c_custkey % 3 WHEN 0 THEN 'director' WHEN 1 THEN 'junior' ELSE 'senior' END AS seniority FROM customer""")
 def o97_model_payloads(spark, sf_dir):
-    places = F.array(*(F.struct(F.lit(f"Place {i}").alias("display_name"), F.lit("QA").alias("country_code"), F.lit(i == 1).alias("is_primary")) for i in range(5)))
+    """Which place is primary, what the job says of itself and where its level comes from depend on the row; the fourth
+    place is one too many."""
+    key = F.col("candidate_id")
+    words = {"city": "City ", "region": "R", "country_code": "QA", "source_raw": "raw  [INST]", "workplace_type": "hybrid", "remote_scope": "EU"}
+    places = F.array(*(F.struct(F.lit(f"Place {i}").alias("display_name"), *(F.lit(x).alias(c) for c, x in words.items()), F.when(key % 4 != 0, key % 4 == i).alias("is_primary")) for i in range(5)))
     none = F.array().cast("array<string>")
-    pairs = _profiles(spark, sf_dir).withColumns({
-        "user_skills": F.col("skills"), "user_years": F.col("total_years"), "user_degree_rank": F.lit(1), "user_domain": F.lit("x"), "user_seniority": F.lit("mid"), "job_id": F.lit(1), "title": F.lit("T"), "locations": places,
-        "job_domain": F.lit(None).cast("string"), "min_degree_level": F.lit("none"), "required_skills": none, "preferred_skills": none, "jd_experience_years": F.lit(3),
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), "c_nationkey")
+    pairs = _profiles(spark, sf_dir).join(nation, "candidate_id").withColumns({
+        "user_skills": F.col("skills"), "user_years": F.col("total_years"), "user_degree_rank": F.lit(1), "user_domain": F.lit("x"), "user_seniority": F.lit("mid"), "job_id": F.lit(1), "title": F.when(key % 3 == 1, "Junior T").otherwise("T"), "locations": places,
+        "employment_type": F.lit(" full-time"), "department": F.concat(F.lit("Dept "), F.col("c_nationkey").cast("string")), "team": F.when(key % 5 != 0, "Team"), "seniority_level": F.when(key % 3 == 0, " director ").otherwise(" "),
+        "job_domain": F.lit(None).cast("string"), "min_degree_level": F.lit("none"), "required_skills": none, "preferred_skills": none, "jd_experience_years": F.lit(9),
         **{c: F.lit(0.5) for c in ("final_score", "cosine_score", "skill_overlap_score", "domain_match_score", "seniority_match_score")}, "experience_gap": F.lit(0), "education_gap": F.lit(0),
     })
     got = Q.model_payloads(pairs)
     at = lambda p: F.get_json_object("payload", p)
     skills = F.array_join(F.from_json(at("$.candidate_profile.skills"), "array<string>"), "|")
-    return got.select("candidate_id", at("$.candidate_profile.summary").alias("summary"), skills.alias("skills"), at("$.candidate_profile.recent_work_history[0].bullets").alias("bullets"), at("$.job_profile.primary_location.display_name").alias("place"))
+    place = F.concat_ws("/", *(at(f"$.job_profile.primary_location.{c}") for c in ("display_name", "city", "region", "country_code", "source_raw", "workplace_type", "remote_scope")))
+    org = F.concat_ws("/", *(at(f"$.job_profile.{c}") for c in ("employment_type", "department", "team")))
+    return got.select(
+        "candidate_id", at("$.candidate_profile.summary").alias("summary"), skills.alias("skills"), at("$.candidate_profile.recent_work_history[0].bullets").alias("bullets"), place.alias("place"),
+        F.size(F.from_json(at("$.job_profile.locations"), "array<string>")).alias("n_places"), org.alias("org"), at("$.job_profile.structured_jd.seniority_level").alias("seniority"),
+    )
 
 
 @query("""SELECT alias, min(uri) AS uri FROM (SELECT lower(p_type) AS alias, p_brand AS uri, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS n FROM part) WHERE n = 1 AND alias NOT LIKE '%steel%' GROUP BY 1

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
+from hirelens.operators import blobs as B
 from hirelens.operators import embeddings as E
 from hirelens.operators import ledger as G
 from hirelens.operators import snapshot as S
@@ -196,6 +197,43 @@ def o12_state(spark, sf_dir):
     return G.read_state(spark, root)
 
 
+@query(f"""WITH {J}, l AS (SELECT source_id, external_job_id, arg_max(title, job_id) AS title FROM j GROUP BY 1, 2), s AS (SELECT source_id, external_job_id, title, source_id IN ('src1', 'src2') AS again, hash_of % 3 = 0 AS gone
+    FROM (SELECT *, CAST(substr(external_job_id, 5) AS INTEGER) AS hash_of FROM l))
+  SELECT source_id, external_job_id, title || CASE WHEN again AND NOT gone THEN '!' ELSE '' END AS title, CASE WHEN again AND gone THEN 'closed' ELSE 'open' END AS status, CASE WHEN again THEN '{AT}' ELSE '2029-01-01' END AS updated, true AS conflict FROM s""")
+def o12_bucketed_state(spark, sf_dir):
+    """A state of all sources, then a snapshot of two of them, which rewrites only their buckets; a writer that began
+    with the first version can't put its own on it."""
+    rows = S.last_wins(jobs(spark, sf_dir).select("source_id", "external_job_id", "title", F.col("job_id").alias("seq"))).drop("seq", "first_seq")
+    root = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    G.reconcile_buckets(spark, root, rows, F.lit("2029-01-01").cast("timestamp"), ["title"], 16)
+    base, before = G.newest(spark, root)
+    some = rows.where("source_id IN ('src1', 'src2') AND cast(substr(external_job_id, 5) AS int) % 3 <> 0").withColumn("title", F.concat("title", F.lit("!")))
+    _, written = G.reconcile_buckets(spark, root, some, _at(), ["title"], 16)
+    after = G.newest(spark, root)[1]
+    if len(written) > 2 or any(before["buckets"][b] != x for b, x in after["buckets"].items() if int(b) not in written):
+        raise AssertionError("buckets of other sources were rewritten")
+    try:
+        G.point(spark, root, base, before)
+        conflict = False
+    except G.StateConflict:
+        conflict = True
+    return G.read_buckets(spark, root).select("source_id", "external_job_id", "title", "status", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), F.lit(conflict).alias("conflict"))
+
+
+@query("""WITH p AS (SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{}' WHEN 2 THEN '{"a":1,"b":[' || page_id // 8 || ']}' ELSE 'no JSON' END AS raw FROM pages),
+  k AS (SELECT page_id, CASE WHEN trim(html) <> '' THEN 'job-html/' || sha256(html) || '.html.gz' END AS html_key, CASE WHEN page_id % 4 = 2 THEN 'job-raw/' || sha256(raw) || '.json.gz' END AS raw_key FROM p)
+  SELECT page_id, html_key, raw_key, CASE WHEN html_key IS NOT NULL THEN 'ok' END AS state, 0 AS written_again FROM k""")
+def o09_store(spark, sf_dir):
+    """Contents put into the store, put again, and read back with their hashes checked."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("description_html"), F.when(F.col("page_id") % 4 == 1, "{ }").when(F.col("page_id") % 4 == 2, F.concat(F.lit('{"b": ['), F.floor(F.col("page_id") / 8).cast("string"), F.lit('], "a": 1}'))).when(F.col("page_id") % 4 == 3, "no JSON").alias("raw_payload"))
+    pointed, contents = B.with_pointers(rows)
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    B.put_contents(contents, folder)
+    again = B.put_contents(contents, folder).where("written").count()
+    found = B.read_contents(contents, folder).select(F.col("key").alias("description_html_key"), F.when(F.sha2("content", 256) == F.col("sha256"), F.col("state")).otherwise("damaged").alias("state"))
+    return pointed.join(found, "description_html_key", "left").select("page_id", F.col("description_html_key").alias("html_key"), F.col("raw_payload_key").alias("raw_key"), "state", F.lit(again).alias("written_again"))
+
+
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS workplace, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS number,
   CASE WHEN p_size <= 1 THEN 'junior' WHEN p_size <= 4 THEN 'mid' WHEN p_size <= 8 THEN 'senior' ELSE 'director' END AS level, 'SQL|go' AS cleaned FROM part""")
 def o31_o32_o41_o48_terms(spark, sf_dir):

@@ -56,7 +56,7 @@ class Objects:
             return False
         path, own = f"{self.root}/{name}", f"{self.root}/_{uuid.uuid4().hex}"
         self.fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with self.fs.open_output_stream(own) as out:
+        with self.fs.open_output_stream(own, compression=None) as out:
             out.write(data)
         if self._there(name):
             self.fs.delete_file(own)
@@ -67,7 +67,7 @@ class Objects:
     def get(self, name: str) -> bytes | None:
         if not self._there(name):
             return None
-        with self.fs.open_input_stream(f"{self.root}/{name}") as found:
+        with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as found:
             return found.read()
 
     def names(self, below: str) -> list[str]:

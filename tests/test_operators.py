@@ -206,3 +206,100 @@ def test_reset_leaves_other_members_as_they_are(spark):
     rows = spark.createDataFrame([(i, None, "d", "sales", r) for i, r in enumerate(raws)], "job_id long, structured_jd_version int, job_domain_raw string, job_domain_normalized string, structured_jd string")
     got = [r.structured_jd for r in G.reset_old_domains(rows).orderBy("job_id").collect()]
     assert got == ['{"a":[1, "x,}"],"n":1.50}', "{}", "{}", "[1]", "broken {", raws[5], None, '{"z":{}}']
+
+
+def test_store_reports_what_is_damaged(spark, tmp_path):
+    from hirelens.operators import blobs as B
+
+    rows = spark.createDataFrame([(1, "<p>a</p>", '{"b":1, "a":[ ]}'), (2, " ", "[]"), (3, "<p>a</p>", None), (4, "<p>c</p>", "null"), (5, None, "{}")], "id long, description_html string, raw_payload string")
+    pointed, contents = B.with_pointers(rows)
+    kept = {r.id: (r.description_html_key is None, r.raw_payload_key is None) for r in pointed.collect()}
+    assert kept == {1: (False, False), 2: (True, True), 3: (False, True), 4: (False, True), 5: (True, True)}
+    assert sorted(r.written for r in B.put_contents(contents, f"{tmp_path}/s").collect()) == [True] * 3
+    assert sorted(r.written for r in B.put_contents(contents, f"{tmp_path}/s").collect()) == [False] * 3
+    html = sorted((tmp_path / "s/job-html").iterdir())
+    html[0].write_bytes(html[1].read_bytes())  # another content under this name
+    html[1].write_bytes(b"no gzip")
+    states = B.read_contents(contents.unionByName(spark.createDataFrame([("job-raw/x", "x", "y")], contents.schema)), f"{tmp_path}/s").collect()
+    assert sorted(r.state for r in states) == ["damaged", "damaged", "missing", "ok"]
+    assert [r.content for r in states if r.state == "ok"] == ['{"a":[],"b":1}']
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    import pytest
+
+    from hirelens.operators import ledger as G
+
+    root = f"{tmp_path}/state"
+    G.write_state(spark.range(3), root)
+    base = G.newest(spark, root)[0]
+    G.write_state(spark.range(4), root, base)
+    with pytest.raises(G.StateConflict):
+        G.write_state(spark.range(5), root, base)
+    assert G.read_state(spark, root).count() == 4
+
+
+def test_calls_are_made_once(spark, tmp_path):
+    from hirelens.operators.calls import call_once
+
+    log, broken = tmp_path / "log", tmp_path / "broken"
+    log.mkdir()
+    broken.touch()
+
+    def call(rows):
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(r["call_key"] for r in rows))
+        if broken.exists() and any(r["n"] == 7 for r in rows):
+            raise RuntimeError("down")
+        return [f"a{r['n']}" if r["n"] % 5 else None for r in rows]
+
+    asked = spark.range(40).select(F.concat(F.lit("k"), F.col("id") % 20).alias("call_key"), (F.col("id") % 20).alias("n"))
+    root = f"{tmp_path}/ledger"
+    answers, failures = call_once(asked, call, root, size=3, buckets=4)
+    failed = {r.call_key for r in failures.collect()}
+    assert "k7" in failed and len(failed) <= 3 and answers.count() == 20 - len(failed)
+    for _ in range(3):
+        answers.collect()
+    lines = lambda: sorted(k for f in log.iterdir() for k in f.read_text().split())
+    assert lines() == sorted(f"k{i}" for i in range(20))
+    broken.unlink()
+    answers, failures = call_once(asked, call, root, size=3, buckets=4)  # a later run asks only what has no answer
+    assert failures.count() == 0 and {(r.call_key, r.answer) for r in answers.collect()} == {(f"k{i}", f"a{i}" if i % 5 else None) for i in range(20)}
+    assert lines() == sorted([f"k{i}" for i in range(20)] + sorted(failed))
+    assert call_once(asked.where("false"), call, f"{tmp_path}/none")[0].count() == 0
+
+
+def test_a_lost_task_repeats_no_answered_call(spark, tmp_path):
+    """A task that fails midway, and is run again by the next job, goes on behind what it has put down."""
+    from hirelens.operators.calls import call_once
+
+    log, lost = tmp_path / "log", tmp_path / "lost"
+    log.mkdir()
+    lost.touch()
+
+    def call(rows):
+        import os
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(r["call_key"] for r in rows))
+        if lost.exists() and len(list(log.iterdir())) > 4:
+            os._exit(1)  # the worker is gone
+        return ["x"] * len(rows)
+
+    asked = spark.range(30).select(F.col("id").cast("string").alias("call_key"))
+    import pytest
+
+    with pytest.raises(Exception, match=r"(?s).*"):
+        call_once(asked, call, f"{tmp_path}/ledger", size=2, buckets=2)
+    lost.unlink()
+    answers, _ = call_once(asked, call, f"{tmp_path}/ledger", size=2, buckets=2)
+    seen = [k for f in log.iterdir() for k in f.read_text().split()]
+    assert answers.count() == 30 and len(set(seen)) == 30 and len(seen) <= 30 + 2 * 2 * 2  # at most the batches that were under way
+
+
+def test_null_skill_lists_keep_their_lines(spark):
+    from hirelens.operators import texts as X
+
+    rows = spark.createDataFrame([(1, "T", "Requirements:\n- SQL\n- 401(k) plan\n\u2022 visa sponsorship\nPreferred\nGo", None, None, "unknown", None)], "job_id long, title string, description string, required_skills array<string>, preferred_skills array<string>, job_domain string, seniority_level string")
+    assert X.job_texts(rows).first().text == "Title: T\n\nMust-have evidence:\n- SQL\n- 401(k) plan\n\nOptional context:\n- Go"
