@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelens.operators import ingest as I  # noqa: E741
 from hirelens.operators import locations as L
 from hirelens.operators import snapshot as S
-from hirelens.plans.places import dims
+from hirelens.plans import places
 from hirelens.plans.registry import query
 from hirelens.sources.fixtures import JOBS_SQL, jobs, table
 from hirelens.sources.store import fresh_folder
@@ -118,7 +118,7 @@ def o22_hints(spark, sf_dir):
     """Place texts by the parser, country fields by the resolver, both against the dimensions and two more countries;
     hints have what is known, and the text as it was."""
     good, _ = mapped(spark, sf_dir)
-    countries, cities, admin1 = dims(spark, sf_dir)
+    countries, cities, admin1 = places.dims(spark, sf_dir)
     none = {c: F.lit(None).cast(t).alias(c) for c, t in countries.dtypes if c not in ("code", "name")}
     more = spark.sql("SELECT * FROM VALUES ('CA', 'Canada'), ('FR', 'France') AS t(code, name)").select("code", "name", *none.values())
     countries = countries.unionByName(more)

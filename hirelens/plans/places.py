@@ -87,7 +87,7 @@ def o63b_parse(spark, sf_dir):
     return L.parse_locations(texts, *dims(spark, sf_dir))
 
 
-LINKS_SQL = """lk AS (SELECT l_orderkey AS job_id, l_partkey % 40 AS location_id, max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) = 1 AS is_primary, min(l_shipdate) AS created_at, min(l_shipmode) AS source_raw FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) z WHERE l_linenumber <= 3 GROUP BY 1, 2),
+LINKS_SQL = """lk AS (SELECT l_orderkey AS job_id, l_partkey % 40 AS location_id, max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) = 1 AS is_primary, min(l_shipdate) AS created_at, min(l_shipmode) AS source_raw FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) z GROUP BY 1, 2),
 lo AS (SELECT CAST(n AS INTEGER) AS id, concat('City ', CAST(n AS VARCHAR(10))) AS city, concat('R', CAST(n % 5 AS VARCHAR(10))) AS region, CASE WHEN n % 4 <> 0 THEN 'QA' END AS country_code, concat('Place ', CAST(n AS VARCHAR(10))) AS display_name FROM (SELECT DISTINCT l_partkey % 40 AS n FROM lineitem) y)"""
 
 

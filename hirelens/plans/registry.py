@@ -440,6 +440,3 @@ def o76_label_rerank(spark, sf_dir):
     said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "stretch").alias("label"))
     labels = ranked.select("candidate_id", "job_id").join(said, "job_id")
     return M.label_rerank(ranked, labels, 20, digits=8).select("candidate_id", "job_id", "label", "adjusted_score", "place", "reorder_applied")
-
-
-from hirelens.plans import files, ingest, parsing, places, upkeep  # noqa: E402, F401  (their queries register themselves)
