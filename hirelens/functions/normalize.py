@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,25 +91,36 @@ def seniority_rank(level: Column) -> Column:
     return F.create_map(*(F.lit(x) for item in V.SENIORITY_RANK.items() for x in item))[level]
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of(value)`, where `value` is computed once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def employment_type(c: Column) -> Column:
     """A canonical term; null if blank, `other` if no rule fits."""
-    t = F.regexp_replace(F.lower(clean(c)), r"[_/-]+", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^a-z0-9\s&+-]", " "), SPACE, " "))
-    exact = F.lit(None).cast("string")
-    for label, value in V.EMPLOYMENT_EXACT.items():
-        exact = F.when(t == label, value).otherwise(exact)
-    rules = None
-    for needle, value in V.EMPLOYMENT_CONTAINS.items():
-        rules = F.when(t.contains(needle), value) if rules is None else rules.when(t.contains(needle), value)
-    return F.when(clean(c).isNotNull(), F.coalesce(exact, F.when(t.contains("full") & t.contains("part"), "mixed").when(t.rlike(r"\btemp\b"), "temporary").otherwise(rules.otherwise("other"))))
+
+    def term(t: Column) -> Column:
+        exact = F.lit(None).cast("string")
+        for label, value in V.EMPLOYMENT_EXACT.items():
+            exact = F.when(t == label, value).otherwise(exact)
+        rules = None
+        for needle, value in V.EMPLOYMENT_CONTAINS.items():
+            rules = F.when(t.contains(needle), value) if rules is None else rules.when(t.contains(needle), value)
+        return F.when(t.isNotNull(), F.coalesce(exact, F.when(t.contains("full") & t.contains("part"), "mixed").when(t.rlike(r"\btemp\b"), "temporary").otherwise(rules.otherwise("other"))))
+
+    spelt = F.regexp_replace(F.lower(clean(c)), r"[_/-]+", " ")
+    return let(F.trim(F.regexp_replace(F.regexp_replace(spelt, r"(?U)[^a-z0-9\s&+-]", " "), SPACE, " ")), term)
 
 
 def flexible_timestamp(c: Column) -> Column:
     """Seconds or milliseconds since 1970 (as a number or its text), or ISO 8601; else null."""
-    t = F.trim(c.cast("string"))
-    n = t.try_cast("double")
-    seconds = F.when(n > 1e11, n / 1000).otherwise(n)
-    return F.when(n.isNotNull(), F.timestamp_micros((seconds * 1e6).try_cast("bigint"))).otherwise(F.try_to_timestamp(t))
+
+    def moment(x: Column) -> Column:
+        t, n = x["t"], x["n"]
+        seconds = F.when(n > 1e11, n / 1000).otherwise(n)
+        return F.when(n.isNotNull(), F.timestamp_micros((seconds * 1e6).try_cast("bigint"))).otherwise(F.try_to_timestamp(t))
+
+    return let(F.trim(c.cast("string")), lambda t: let(F.struct(t.alias("t"), t.try_cast("double").alias("n")), moment))
 
 
 def best_int(c: Column, default: int | None = None) -> Column:
@@ -142,20 +153,15 @@ def display_name(city: Column, region: Column, country: Column) -> Column:
 
 def workplace(hints: Column, default: str | None = None) -> Column:
     """remote before hybrid before onsite, over an array of hints."""
-    t = F.lower(F.concat_ws(" ", hints))
-    return F.when(t.contains("remote"), "remote").when(t.contains("hybrid"), "hybrid").when(t.contains("onsite") | t.contains("on-site") | t.contains("on site"), "onsite").otherwise(F.lit(default).cast("string"))
+    found = lambda t: F.when(t.contains("remote"), "remote").when(t.contains("hybrid"), "hybrid").when(t.contains("onsite") | t.contains("on-site") | t.contains("on site"), "onsite")
+    return let(F.lower(F.concat_ws(" ", hints)), lambda t: found(t).otherwise(F.lit(default).cast("string")))
 
 
 def source_key(platform: Column, identifier: Column) -> Column:
     return F.concat_ws(":", platform, F.trim(identifier))
 
 
-def name_key(name: Column) -> Column:
-    return F.lower(F.trim(name))
-
-
-LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
-YEARS = r"(?i)(\d{1,2})\s*(?:\+|plus)?\s*(?:[-–—to]{1,3}\s*\d{1,2})?\s+years?"
+LINES, YEARS = V.LINES, V.YEARS
 
 
 def experience(text: Column) -> Column:

@@ -165,3 +165,7 @@ DOMAIN_HINTS = {
     "data_ai": ("machine learning", "model", "analytics", "feature", "inference"),
 }
 ACTION_WORDS, ABILITY_WORDS = ("build", "design", "improve", "partner", "mentor"), ("experience", "strong", "ability", "familiarity")
+
+# What ends a line of a text, and how a line names years of experience.
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
+YEARS = r"(?i)(\d{1,2})\s*(?:\+|plus)?\s*(?:[-–—to]{1,3}\s*\d{1,2})?\s+years?"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions.fold import composed
+from hirelens.functions.html import hydrated
+from hirelens.operators.blobs import put_contents, with_pointers
 from hirelens.operators.snapshot import reconcile
 from hirelens.sources.store import staged
 
@@ -169,6 +171,30 @@ def apply_changes(rows: DataFrame, changes: DataFrame, key: str, at: Column) ->
     return got.select(*(out.get(c, F.col(c)).alias(c) for c in rows.columns)), changes.join(rows.select(key), key, "left_anti")
 
 
+def create_rows(rows: DataFrame, requests: DataFrame, sources: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(`rows` and those that `requests` create, rejected (request_id, reason)).
+
+    requests: request_id, seq, source (`platform:identifier`) and source_id, external_job_id, description_html and any
+    columns of rows. A given source_id must be one; else the key names the owner: no_owner. A row that is there already,
+    or that an earlier request of the batch has created, is not created again: exists. A blank description_plain is that
+    of the HTML; columns that a request lacks are null.
+    """
+    owned, ownerless = resolve_owners(requests, sources)
+    order = F.struct(F.col("seq").isNotNull(), "seq", "request_id")
+    owned = owned.withColumn("description_plain", hydrated(F.col("description_plain") if "description_plain" in requests.columns else F.lit(None).cast("string"), F.col("description_html")))
+    first = owned.groupBy(F.col("source_id").alias("__s"), F.col("external_job_id").alias("__e")).agg(F.min(order)["request_id"].alias("__first"))
+    there = rows.select(F.col("source_id").alias("__rs"), F.col("external_job_id").alias("__re"), F.lit(True).alias("__there")).distinct()
+    same = lambda s, e: (F.col("source_id") == F.col(s)) & F.col("external_job_id").eqNullSafe(F.col(e))
+    met = owned.join(first, same("__s", "__e")).join(there, same("__rs", "__re"), "left")
+    new = F.col("__there").isNull() & (F.col("request_id") == F.col("__first"))
+    made = met.where(new).withColumns({
+        "id": F.sha2(F.concat_ws("|", "source_id", "external_job_id"), 256), "status": F.lit("open"), **{c: at for c in ("created_at", "updated_at", "last_seen_at")},
+    })
+    created = made.select(*((F.col(c) if c in made.columns else F.lit(None)).cast(kind).alias(c) for c, kind in rows.dtypes))
+    rejected = ownerless.select("request_id", F.lit("no_owner").alias("reason")).unionByName(met.where(~new).select("request_id", F.lit("exists").alias("reason")))
+    return rows.unionByName(created), rejected
+
+
 def full_fingerprint(title: Column, description: Column) -> Column:
     """`content_fingerprint` of the compatibility-composed texts."""
     return N.content_fingerprint(composed(F.coalesce(title, F.lit(""))), composed(F.coalesce(description, F.lit(""))))
@@ -236,6 +262,29 @@ def reset_old_domains(jobs: DataFrame, version: int = 3) -> DataFrame:
     })
 
 
+def stamp_versions(jobs: DataFrame, version: int = 3) -> DataFrame:
+    """`jobs` where a structured_jd without a structured_jd_version gets `version`."""
+    bare = F.col("structured_jd").isNotNull() & F.col("structured_jd_version").isNull()
+    return jobs.withColumn("structured_jd_version", F.when(bare, F.lit(version)).otherwise(F.col("structured_jd_version")))
+
+
+def backfill_contents(jobs: DataFrame, folder: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(`jobs` with pointers in place of description_html and raw_payload, one row of counts: scanned, html_due, raw_due,
+    plain_due, written) of `jobs` (description_plain, these texts, and their _key and _hash columns). Rows that have a
+    pointer keep it; a blank description_plain is filled from the HTML. dry_run: only counts; `jobs` stay as they are."""
+    blank = F.trim(F.coalesce("description_plain", F.lit(""))) == ""
+    pointers = [f"{n}_{x}" for n in ("description_html", "raw_payload") for x in ("key", "hash")]
+    bare = jobs.withColumns({"__html": F.when(F.col("description_html_key").isNull(), F.col("description_html")), "__raw": F.when(F.col("raw_payload_key").isNull(), F.col("raw_payload"))})
+    pointed, contents = with_pointers(bare.withColumnsRenamed({c: f"__{c}" for c in pointers}), "__html", "__raw")
+    due = lambda n: F.col(f"{n}_key").isNotNull()
+    counts = pointed.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(due("description_html")).alias("html_due"), F.count_if(due("raw_payload")).alias("raw_due"), F.count_if(blank & (F.trim("description_html") != "")).alias("plain_due"))
+    if dry_run:
+        return jobs, counts.withColumn("written", F.lit(0).cast("long"))
+    written = put_contents(contents, folder).where("written").count()
+    done = pointed.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in pointers}).withColumn("description_plain", hydrated(F.col("description_plain"), F.col("description_html")))
+    return done.select(*(c for c in jobs.columns if c not in ("description_html", "raw_payload"))), counts.withColumn("written", F.lit(written).cast("long"))
+
+
 def listing(rows: DataFrame, order: list[str], status: str | None = None, offset: int = 0, limit: int = 100, **equal) -> DataFrame:
     """A page of `rows` by status and further equalities, in an order that ends with a key."""
     if status is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hirelens.functions import normalize as N
 from hirelens.functions import vocabulary as V
+from hirelens.sources.store import bounded
 from hirelens.functions.fold import compact, lookup_key
 
 RESULT = ("country_code", "confidence", "source", "is_ambiguous", "multi_country", "matched")
@@ -82,7 +83,7 @@ def with_valid_country(rows: DataFrame, column: str, countries: DataFrame) -> Da
     """`rows` with `valid_country`: the column, stripped, is a country's two-letter code in either case."""
     codes = countries.select(F.upper("code").alias("__code")).distinct().withColumn("__hit", F.lit(True))
     upper = F.upper(F.trim(column))
-    return rows.join(F.broadcast(codes), F.when(F.length(upper) == 2, upper) == F.col("__code"), "left").withColumn("valid_country", F.coalesce("__hit", F.lit(False))).drop("__code", "__hit")
+    return rows.join(bounded(codes), F.when(F.length(upper) == 2, upper) == F.col("__code"), "left").withColumn("valid_country", F.coalesce("__hit", F.lit(False))).drop("__code", "__hit")
 
 
 def resolve_cities(asked: DataFrame, cities: DataFrame, admin1: DataFrame) -> DataFrame:
@@ -221,9 +222,3 @@ def country_filter(jobs: DataFrame, links: DataFrame, locations: DataFrame, code
     """`jobs` that have a place in the country."""
     here = links.join(locations.where(F.col("country_code") == code).select(F.col("id").alias("location_id")), "location_id", "left_semi")
     return jobs.join(here.select("job_id"), "job_id", "left_semi")
-
-
-def first_link(links: DataFrame) -> DataFrame:
-    """One link a job: the primary, else the earliest."""
-    w = Window.partitionBy("job_id").orderBy(F.desc("is_primary"), "created_at", "location_id")
-    return links.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

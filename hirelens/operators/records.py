@@ -112,3 +112,15 @@ def pending_parse(rows: DataFrame, version: int, version_only: bool = False, exc
     old = F.when(F.col("structured_jd").isNull(), F.lit(not version_only)).otherwise(old)
     left = rows.where((F.col("description_plain").isNotNull() | F.col("description_html_key").isNotNull()) & old)
     return left if exclude is None else left.join(exclude.select("job_id"), "job_id", "left_anti")
+
+
+def run_coverage(sources: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per platform, and in all (platform null): sources, those whose newest run is a success, failed or running,
+    those without a run, and success_rate, the share of successes among runs that have ended (null if none has).
+
+    sources: id, platform. ledger: source_id, status, started_at. Runs of other sources don't count."""
+    newest = ledger.groupBy("source_id").agg(F.max_by("status", F.struct("started_at", "status")).alias("status"))
+    met = sources.select(F.col("id").alias("source_id"), "platform").join(newest, "source_id", "left")
+    has = lambda x: F.count_if(F.col("status") == x)
+    counted = met.rollup("platform").agg(F.count(F.lit(1)).alias("sources"), *(has(x).alias(x) for x in ("success", "failed", "running")), F.count_if(F.col("status").isNull()).alias("not_started"))
+    return counted.withColumn("success_rate", F.try_divide(F.col("success"), F.col("success") + F.col("failed")))

@@ -12,6 +12,7 @@ from hirelens.functions import normalize as N
 from hirelens.operators import blobs as B
 from hirelens.operators import embeddings as E
 from hirelens.operators import ledger as G
+from hirelens.operators import records as R
 from hirelens.operators import snapshot as S
 from hirelens.plans.registry import DOMAIN_SQL, J, query
 from hirelens.sources import files
@@ -234,6 +235,60 @@ def o09_store(spark, sf_dir):
     return pointed.join(found, "description_html_key", "left").select("page_id", F.col("description_html_key").alias("html_key"), F.col("raw_payload_key").alias("raw_key"), "state", F.lit(again).alias("written_again"))
 
 
+@query("""WITH s AS (SELECT user_id AS id, 'p' || (user_id % 4) AS platform FROM (SELECT DISTINCT user_id FROM events)), r AS (SELECT user_id AS id, arg_max(event_type, event_id) AS last FROM events WHERE event_type IN ('view', 'error', 'click') AND user_id % 3 <> 0 GROUP BY 1),
+  m AS (SELECT platform, CASE last WHEN 'view' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' END AS status FROM s LEFT JOIN r USING (id))
+  SELECT platform, count(*) AS sources, count_if(status = 'success') AS success, count_if(status = 'failed') AS failed, count_if(status = 'running') AS running, count_if(status IS NULL) AS not_started,
+    count_if(status = 'success') / nullif(count_if(status = 'success') + count_if(status = 'failed'), 0)::DOUBLE AS success_rate FROM m GROUP BY ROLLUP (platform)""")
+def o71_run_coverage(spark, sf_dir):
+    """Sources by platform and how their newest run ended."""
+    e = table(spark, sf_dir, "events")
+    sources = e.select(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("platform")).distinct()
+    status = F.when(F.col("event_type") == "view", "success").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "running")
+    runs = e.where("user_id % 3 <> 0").select(F.col("user_id").cast("string").alias("source_id"), status.alias("status"), F.col("event_id").alias("started_at")).where("status IS NOT NULL")
+    return R.run_coverage(sources, runs)
+
+
+@query(f"""WITH {J}, held AS (SELECT DISTINCT source_id, external_job_id FROM j WHERE job_id % 2 = 0), q AS (SELECT job_id, source_id, external_job_id, source_id = 'src3' AND job_id % 4 <> 1 AS ownerless, row_number() OVER (PARTITION BY source_id, external_job_id, source_id = 'src3' AND job_id % 4 <> 1 ORDER BY job_id) AS n FROM j WHERE job_id % 2 = 1)
+  SELECT job_id AS request_id, CASE WHEN ownerless THEN 'no_owner' WHEN n > 1 OR (source_id, external_job_id) IN (SELECT (source_id, external_job_id) FROM held) THEN 'exists' ELSE 'created' END AS outcome, CASE WHEN ownerless OR n > 1 OR (source_id, external_job_id) IN (SELECT (source_id, external_job_id) FROM held) THEN NULL ELSE 'text ' || job_id END AS plain FROM q""")
+def o94_create(spark, sf_dir):
+    """A batch of new postings: owners by id or by key, one unknown; some are there already or come twice."""
+    j = jobs(spark, sf_dir)
+    sources = j.where("source_id <> 'src3' OR job_id % 4 = 1").select(F.col("source_id").alias("id"), F.lit("lever").alias("platform"), F.concat(F.lit("b"), "source_id").alias("identifier")).distinct()
+    k = F.col("job_id")
+    asked = j.where("job_id % 2 = 1").select(
+        k.alias("request_id"), k.alias("seq"), F.concat(F.lit("lever:b"), F.when((F.col("source_id") == "src3") & (k % 4 != 1), "none").otherwise(F.col("source_id"))).alias("source"),
+        F.when(k % 3 == 0, F.when((F.col("source_id") == "src3") & (k % 4 != 1), "none").otherwise(F.col("source_id"))).alias("source_id"), "external_job_id", F.concat(F.lit("<p>text "), k.cast("string"), F.lit("</p>")).alias("description_html"), k.cast("string").alias("title"),
+    )
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("description_plain", "string"), ("status", "string"), ("created_at", "timestamp"))}
+    held = j.where("job_id % 2 = 0").select("source_id", "external_job_id").distinct().select(F.lit("held").alias("id"), "source_id", "external_job_id", *none.values())
+    got, rejected = G.create_rows(held, asked, sources, _at())
+    made = got.where("id <> 'held'").select(F.col("title").cast("long").alias("request_id"), F.lit("created").alias("outcome"), F.col("description_plain").alias("plain"))
+    return made.unionByName(rejected.select("request_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("plain")))
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 3 = 0 AS pointed, CASE WHEN page_id % 2 = 0 THEN '{"a":' || page_id || '}' END AS raw, trim(coalesce(html, '')) <> '' AS has, html FROM pages), c AS (SELECT count(*) AS scanned, count_if(NOT pointed AND has) AS html_due, count(raw) AS raw_due, count_if(page_id % 5 = 0 AND has) AS plain_due FROM p)
+  SELECT page_id, CASE WHEN pointed THEN 'old' WHEN has THEN 'job-html/' || sha256(html) || '.html.gz' END AS html_key, CASE WHEN raw IS NOT NULL THEN 'job-raw/' || sha256(raw) || '.json.gz' END AS raw_key, page_id % 5 = 0 AND NOT has AS still_blank, CASE WHEN page_id % 4 = 0 THEN 3 END AS version, scanned, html_due, raw_due, plain_due, 0 AS dry FROM p, c""")
+def o93_contents_and_versions(spark, sf_dir):
+    """Contents moved to the store, blank texts filled, versions stamped; the dry run before it counts the same and writes
+    nothing."""
+    k = F.col("page_id")
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", F.col("html").alias("description_html"), F.when(k % 2 == 0, F.concat(F.lit('{"a": '), k.cast("string"), F.lit("}"))).alias("raw_payload"), F.when(k % 5 != 0, "text").alias("description_plain"),
+        F.when(k % 3 == 0, "old").alias("description_html_key"), F.when(k % 3 == 0, "old").alias("description_html_hash"), none.alias("raw_payload_key"), none.alias("raw_payload_hash"),
+        F.when(k % 4 == 0, "{}").alias("structured_jd"), F.lit(None).cast("int").alias("structured_jd_version"),
+    )
+    folder = f"{shared_folder(spark)}/moved-{uuid.uuid4().hex}"
+    dry = G.backfill_contents(rows, folder, dry_run=True)[1].first()
+    done, counts = G.backfill_contents(rows, folder)
+    n = counts.first()
+    if dry[:4] != n[:4] or n["written"] == 0:
+        raise AssertionError(f"the dry run counts {dry}, the run {n}")
+    totals = [F.lit(n[c]).alias(c) for c in ("scanned", "html_due", "raw_due", "plain_due")]
+    blank = F.trim(F.coalesce("description_plain", F.lit(""))) == ""
+    return G.stamp_versions(done).select("page_id", F.col("description_html_key").alias("html_key"), F.col("raw_payload_key").alias("raw_key"), (blank & F.col("description_html_key").isNull()).alias("still_blank"), F.col("structured_jd_version").alias("version"), *totals, F.lit(dry["written"]).alias("dry"))
+
+
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS workplace, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS number,
   CASE WHEN p_size <= 1 THEN 'junior' WHEN p_size <= 4 THEN 'mid' WHEN p_size <= 8 THEN 'senior' ELSE 'director' END AS level, 'SQL|go' AS cleaned FROM part""")
 def o31_o32_o41_o48_terms(spark, sf_dir):
