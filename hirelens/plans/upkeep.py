@@ -357,12 +357,19 @@ def o79_streaming_reconcile(spark, sf_dir):
     return snapshots.read_reconciled(spark, root, "title string").select("source_id", "external_job_id", "title", "status", day("created_at").alias("created"), day("last_seen_at").alias("last_seen"), day("updated_at").alias("updated"))
 
 
-@query(f"WITH {J} SELECT DISTINCT trim(title) AS raw FROM j WHERE trim(title) <> ''")
+@query(f"""WITH {J}, t AS (SELECT DISTINCT trim(title) AS raw FROM j WHERE trim(title) <> '') SELECT 'aligned' AS kind, raw, lower(raw) AS alias, CASE WHEN contains(raw, 'Engineer') THEN 'u:' || length(raw) END AS uri, CASE WHEN contains(raw, 'Engineer') THEN 'a "b", c' END AS label,
+  CASE WHEN contains(raw, 'Engineer') THEN 'mapped' ELSE 'unknown' END AS rest FROM t UNION ALL SELECT 'alias', NULL, lower(raw), 'u:' || length(raw), 'L, ' || raw, 'en|taxonomy' FROM t WHERE contains(raw, 'Engineer')""")
 def o06_o07_skill_files(spark, sf_dir):
-    """Skills written as lines and as CSV, and read back."""
+    """Skills written as lines, aligned skills and aliases as CSV with quotes and commas, and all read back."""
     at = f"{shared_folder(spark)}/skills-{uuid.uuid4().hex}"
     skills = jobs(spark, sf_dir).select("title").distinct()
     skills.unionByName(spark.range(3).select(F.lit("  ").alias("title"))).write.text(f"{at}/raw")
-    raw = files.scan_skills(spark, f"{at}/raw")
-    files.write_aligned(raw.select("raw", F.lower("raw").alias("alias"), F.lit("u").alias("uri"), F.lit("l").alias("label"), F.lit("mapped").alias("status")), f"{at}/csv")
-    return spark.read.csv(f"{at}/csv", header=True).select(F.col("raw_skill").alias("raw"))
+    raw = files.scan_skills(spark, f"{at}/raw").distinct()
+    known, uri = F.col("raw").contains("Engineer"), F.concat(F.lit("u:"), F.length("raw").cast("string"))
+    files.write_aligned(raw.select("raw", F.lower("raw").alias("alias"), F.when(known, uri).alias("uri"), F.when(known, 'a "b", c').alias("label"), F.when(known, "mapped").otherwise("unknown").alias("status")), f"{at}/aligned")
+    files.write_aliases(raw.where(known).select(F.lower("raw").alias("alias"), uri.alias("uri"), F.concat(F.lit("L, "), "raw").alias("label")), f"{at}/aliases")
+    read = lambda name: spark.read.csv(f"{at}/{name}", header=True, escape="\\")
+    aligned = read("aligned").select(F.lit("aligned").alias("kind"), F.col("raw_skill").alias("raw"), F.col("normalized_skill").alias("alias"), F.col("canonical_uri").alias("uri"), F.col("canonical_label").alias("label"), F.col("status").alias("rest"))
+    aliases = read("aliases").select(F.lit("alias").alias("kind"), F.lit(None).cast("string").alias("raw"), "alias", F.col("canonical_uri").alias("uri"), F.col("canonical_label").alias("label"), F.concat_ws("|", "language", "source").alias("rest"))
+    return aligned.unionByName(aliases)
+
