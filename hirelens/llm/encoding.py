@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow.compute as pc
 
@@ -116,11 +116,18 @@ class ChunkEncoder:
 _held: dict = {}
 
 
+def only(key: tuple, make: Callable):
+    """What `make` gives, kept in this Python worker until another key is asked for: a worker that serves one stage after
+    the other holds the words of one tokenizer at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def encoder(path: str, leading_space: bool) -> ChunkEncoder:
     """One encoder per Python worker and file."""
-    if (path, leading_space) not in _held:
-        _held[path, leading_space] = ChunkEncoder(path, leading_space)
-    return _held[path, leading_space]
+    return only((path, leading_space), lambda: ChunkEncoder(path, leading_space))
 
 
 def slices(batch, text: str = "text", max_bytes: int = 8_000_000) -> Iterable:

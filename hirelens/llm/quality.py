@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.encoding import ODD, slices
+from hirelens.llm.encoding import ODD, only, slices
 from hirelens.llm.shared import bounded_broadcast, materialize, table
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
@@ -145,7 +145,6 @@ def in_band(band: Band, n_tokens: int, chars: float, byte_share: float, entropy:
     return n_tokens > 0 and band.min_chars_per_token <= chars <= band.max_chars_per_token and byte_share <= band.max_byte_share and varied
 
 
-_held: dict = {}
 
 
 def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list[str]) -> DataFrame:
@@ -156,9 +155,7 @@ def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list
 
     def judge(text: str) -> tuple:
         counts = base_counts(text)
-        if path not in _held:
-            _held[path] = Fertility(path)
-        n_tokens, chars, byte_share, entropy = _held[path].measure(text)
+        n_tokens, chars, byte_share, entropy = only(("fertility", path), lambda: Fertility(path)).measure(text)
         script = script_of(text)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         good = not failed and in_band(limits.get(script, limits["other"]), n_tokens, chars, byte_share, entropy)

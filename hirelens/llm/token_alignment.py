@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.encoding import LETTERS, PLAIN, WORDS, byte_characters, slices
+from hirelens.llm.encoding import LETTERS, PLAIN, WORDS, byte_characters, only, slices
 from hirelens.llm.shared import materialize, table
 
 #: A space between two non-spaces: no token goes on over it.
@@ -170,14 +170,9 @@ class Aligner:
                 del self.groups[p], self.links[p]
 
 
-_held: dict = {}
-
-
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One per Python worker and pair of files."""
-    if (path_a, path_b) not in _held:
-        _held[path_a, path_b] = Aligner(path_a, path_b)
-    return _held[path_a, path_b]
+    return only((path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 FIRST = pa.schema([("is_sum", pa.bool_()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
