@@ -352,7 +352,7 @@ def o79_streaming_reconcile(spark, sf_dir):
     """Three snapshots of each source by micro-batches of a file: the state is that of whole snapshots in order."""
     path, root = _landed(spark, sf_dir), f"{shared_folder(spark)}/reconcile-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    snapshots.reconcile_snapshots(stream, root, ["title"], buckets=4)
+    snapshots.reconcile_snapshots(stream, root, ["title"], buckets=4, partitions=8)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return snapshots.read_reconciled(spark, root, "title string").select("source_id", "external_job_id", "title", "status", day("created_at").alias("created"), day("last_seen_at").alias("last_seen"), day("updated_at").alias("updated"))
 

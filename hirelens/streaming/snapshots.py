@@ -115,15 +115,17 @@ def changes_of(landed: DataFrame, payload: list[str], buckets: int = BUCKETS) ->
     return dealt.groupBy("source_id", "bucket").transformWithStateInPandas(SnapshotProcessor(), CHANGES, "Append", "None")
 
 
-def reconcile_snapshots(landed: DataFrame, root: str, payload: list[str], buckets: int = BUCKETS) -> None:
+def reconcile_snapshots(landed: DataFrame, root: str, payload: list[str], buckets: int = BUCKETS, partitions: int | None = None) -> None:
     """Brings all that has landed into `root`: each micro-batch's changes are a folder named by its number, which a
     batch that is run again overwrites with the same changes. State stays in `root`/log for the next call.
 
-    The session needs the RocksDB state store; it is set here for the time of the call."""
+    partitions: of the state, which the first call fixes (default: the session's shuffle partitions). The session needs
+    the RocksDB state store; both are set here for the time of the call."""
     spark = landed.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    held = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    held = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
@@ -132,7 +134,8 @@ def reconcile_snapshots(landed: DataFrame, root: str, payload: list[str], bucket
         stream = changes_of(landed, payload, buckets).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{root}/log")
         stream.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(name, held) if held else spark.conf.unset(name)
+        for name, value in held.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def read_changes(spark: SparkSession, root: str) -> DataFrame:
