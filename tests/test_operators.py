@@ -303,3 +303,17 @@ def test_null_skill_lists_keep_their_lines(spark):
 
     rows = spark.createDataFrame([(1, "T", "Requirements:\n- SQL\n- 401(k) plan\n\u2022 visa sponsorship\nPreferred\nGo", None, None, "unknown", None)], "job_id long, title string, description string, required_skills array<string>, preferred_skills array<string>, job_domain string, seniority_level string")
     assert X.job_texts(rows).first().text == "Title: T\n\nMust-have evidence:\n- SQL\n- 401(k) plan\n\nOptional context:\n- Go"
+
+
+def test_a_single_skill_is_a_list_of_one(spark):
+    from hirelens.operators import requirements as Q
+
+    rows = spark.createDataFrame([(1, '{"s": 5}'), (2, '{"s": "Go"}'), (3, '{"s": {"a": 1}}'), (4, '{"s": null}')], "job_id long, payload string")
+    assert [r.required_skills for r in Q.unify_payloads(rows).orderBy("job_id").collect()] == [["5"], ["Go"], [], []]
+
+
+def test_objects_in_answers(spark):
+    from hirelens.operators.requirements import _whole_object
+
+    cases = {'a {"x": "}"} b {': '{"x": "}"}', "```json\n{\"a\": 1}\n``` {}": '{"a": 1}', "``` {\"a\": {\"b\": []}}": '{"a": {"b": []}}', '{"a": NaN}': None, "none": None, '{"a": ': None, "{": None, None: None, "x" * 1_000_001 + "{}": None}
+    assert {k: _whole_object(k) for k in cases} == cases
