@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hirelens.llm.shared import shared_dir
 
 MAX_ROUNDS = 60
+#: Links that a round keeps in one partition: a small table isn't spread over as many files as a large one.
+PART_LINKS = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(-(-now[0] // PART_LINKS) or 1).checkpoint()
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

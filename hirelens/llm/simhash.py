@@ -14,8 +14,6 @@ connect what it found near, not all near pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.encoding import slices
 from hirelens.llm.graph import components
+from hirelens.llm.hamming import BKTree, Groups, majority_bits
 from hirelens.llm.near_copies import drop_near_copies
 from hirelens.llm.shared import bounded_broadcast, materialize, table
 
@@ -42,66 +41,18 @@ def fingerprint(text: str | None, n: int = WORDS) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     spans = zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    found = np.array([digest(joined[a:b], 42) for a, b in spans], dtype=">u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(found), 1 << 16):  # a few MB at once for very long texts
-        some = found[i : i + (1 << 16)]
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.frombuffer(np.packbits(2 * ones > len(found)).tobytes(), ">i8")[0])
-
-
-class BKTree:
-    """A BK-tree over distinct 64-bit fingerprints (as unsigned Python integers)."""
-
-    def __init__(self) -> None:
-        self.root: tuple[int, dict] | None = None
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = (value, {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ value).bit_count()
-            if d == 0:
-                return
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = (value, {})
-                return
-            node = child
-
-    def near(self, value: int, radius: int = RADIUS) -> Iterator[int]:
-        todo = [self.root] if self.root else []
-        while todo:
-            own, children = todo.pop()
-            d = (own ^ value).bit_count()
-            if d <= radius:
-                yield own
-            for edge, child in children.items():
-                if d - radius <= edge <= d + radius:
-                    todo.append(child)
+    found = np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+    return int(np.frombuffer(majority_bits(found), ">i8")[0])
 
 
 def links_within(held: list[int], asked: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect all pairs of one of `held` and one of `asked` within the radius: a spanning forest.
     If both are the same list, each fingerprint is searched among those before it."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    tree, links, same = BKTree(), [], held is asked
+    tree, groups, links, same = BKTree(), Groups(), [], held is asked
     for x in () if same else held:
         tree.add(x)
     for x in asked:
-        for y in tree.near(x, radius):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[a] = b
-                links.append((x, y))
+        links += [(x, y) for y in tree.near(x, radius) if groups.join(x, y)]
         if same:
             tree.add(x)
     return links
@@ -206,8 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: near copies by their shingles. The radius of this module is op6's alone; it is far
-    tighter."""
+    """The pipeline's stage: fingerprints of five-word shingles that BK-trees find near each other, confirmed by the
+    shingles themselves. The radius of three bits is op6's alone; it is far tighter."""
     return drop_near_copies(docs)
 
 

@@ -360,6 +360,47 @@ def test_stage_drops_near_copies_as_brute_force(spark, part):
     assert len(links) > 50 and sorted(r.doc_id for r in left.collect()) == sorted(rows[i][0] for i in set(root))
 
 
+def slow_print(text):
+    """128 majority bits of a text's five-word shingles, as a number."""
+    sets = near_copies.shingle_set(text)
+    return int("".join(str(int(2 * sum(int(h) >> b & 1 for h in some) > len(some))) for some in (sets, near_copies._mix(sets ^ near_copies._STEP)) for b in range(63, -1, -1)), 2)
+
+
+@pytest.mark.parametrize(("part", "radius"), [(3, 16), (256, 16), (256, -1)])
+def test_stage_links_what_trees_of_fingerprints_find(spark, part, radius):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (60, 200, 900):
+        base = [f"u{x}" for x in rng.integers(0, 10**6, n)]
+        for c in range(20):
+            own = list(base)
+            for at in rng.choice(n, max(1, c * n // 400), replace=False):
+                own[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append(" ".join(own))
+    prints, root = [slow_print(t) for t in rows], list(range(len(rows)))
+    links = [(a, b) for a, b in slow_near(rows) if (prints[a] ^ prints[b]).bit_count() <= radius]
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    left = near_copies.drop_near_copies(docs, part, radius)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+    assert 0 < len(set(root)) < len(rows) if radius > 0 else not links
+
+
+def test_trees_find_all_fingerprints_within_the_radius():
+    rng = np.random.default_rng(8)
+    base = [f"u{x}" for x in range(300)]
+    texts_ = ["", "a b", " ".join(base), " ".join(base), *(" ".join(base[: int(n)]) for n in rng.integers(1, 300, 60))]
+    prints = [near_copies.fingerprint(near_copies.shingle_set(t)) for t in texts_]
+    values = [slow_print(t) for t in texts_]
+    assert [int.from_bytes(x) for x in prints] == values
+    for radius in (0, 20, 48):
+        near = {(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if (x ^ y).bit_count() <= radius}
+        assert set(near_copies.found_near(prints, prints, radius)) == {(i, j) for i, j in near if i < j}
+        assert set(near_copies.found_near(prints[:30], prints[30:], radius)) == {(i, j - 30) for i, j in near if i < 30 <= j}
+
+
 def test_stage_tells_rows_apart_by_their_text(spark):
     words, other, alone = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, words), (2, other), (2, words), (2, other), (None, alone), (None, alone + " more"), (None, words)]
