@@ -125,9 +125,9 @@ def only(key: tuple, make: Callable):
     return _held[key]
 
 
-def encoder(path: str, leading_space: bool) -> ChunkEncoder:
+def encoder(path: str, leading_space: bool, max_words: int = 300_000) -> ChunkEncoder:
     """One encoder per Python worker and file."""
-    return only((path, leading_space), lambda: ChunkEncoder(path, leading_space))
+    return only((path, leading_space, max_words), lambda: ChunkEncoder(path, leading_space, max_words))
 
 
 def slices(batch, text: str = "text", max_bytes: int = 8_000_000) -> Iterable:

@@ -163,13 +163,13 @@ def _pack(pieces: Iterator[Piece], limits: Limits, base: int, keep_open: bool) -
         yield _batch(rows)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID, loss_share: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END_ID, loss_share: Column | None = None, max_words: int = 300_000) -> DataFrame:
     """Packs whole texts of `docs` (doc_id, text) into sequences; one row per piece: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (all long).
 
     Null texts are empty: every document ends with `end_id` and so has a piece. loss_share: a column of `docs`
     from 0 to 1, the share of a document's last tokens that bear loss (default: all). Repeated rows and null ids
-    are packed as documents of their own. Sequence ids are unique and have gaps. No rows: no pieces.
+    are packed as documents of their own. max_words: words that a worker remembers, see `ChunkEncoder`. Sequence ids are unique and have gaps. No rows: no pieces.
     """
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
     share = F.lit(1.0) if loss_share is None else F.coalesce(loss_share.cast("double"), F.lit(1.0))
@@ -179,7 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         def pieces():
             for batch in batches:
                 for some in slices(batch):
-                    texts = encoder(tokenizer, False).encode(some.column("text").to_pylist(), end_id)
+                    texts = encoder(tokenizer, False, max_words).encode(some.column("text").to_pylist(), end_id)
                     for doc_id, x, y in zip(some.column("doc_id").to_pylist(), texts, some.column("share").to_pylist(), strict=True):
                         n = len(x) // 4
                         yield Piece(doc_id, 0, x, n, n - round(n * min(1.0, max(0.0, y))))
@@ -201,9 +201,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     return packed.where(F.col("ids").isNull()).drop("ids").unionByName(merged.drop("ids"))
 
 
-def pack_instructions(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pack_instructions(docs: DataFrame, tokenizer: str, max_words: int = 300_000) -> DataFrame:
     """`pack_documents` for texts whose second half is the answer and bears loss: a sequence takes INSTRUCTIONS."""
-    return pack_documents(docs, tokenizer, INSTRUCTIONS, loss_share=F.lit(LOSS_SHARE))
+    return pack_documents(docs, tokenizer, INSTRUCTIONS, loss_share=F.lit(LOSS_SHARE), max_words=max_words)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -17,10 +17,14 @@ from hirelens.llm.quality import keep_good
 from hirelens.llm.shared import fresh_path, table
 from hirelens.llm.simhash import drop_near_duplicates
 
+#: Words that a worker remembers in a stage. It serves the stages one after the other, in an executor whose heap they
+#: have filled, so it has less room than where one operator runs alone.
+WORDS_HELD = 75_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their script's fertility bands."""
-    return keep_good(docs)
+    return keep_good(docs, WORDS_HELD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 tokens."""
-    return pack_instructions(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_instructions(docs, public_tokenizers.path("word_bpe_49k.json"), WORDS_HELD)
 
 
 STAGES = [

@@ -147,7 +147,7 @@ def in_band(band: Band, n_tokens: int, chars: float, byte_share: float, entropy:
 
 
 
-def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list[str], max_words: int) -> DataFrame:
     """The `carried` columns of `docs` and the measures, as each row has them by itself, with __length, the class of
     the text's length in tokens."""
     fields = f"{MEASURES}, __length long"
@@ -155,7 +155,7 @@ def _measured(docs: DataFrame, path: str, limits: dict[str, Band], carried: list
 
     def judge(text: str) -> tuple:
         counts = base_counts(text)
-        n_tokens, chars, byte_share, entropy = only(("fertility", path), lambda: Fertility(path)).measure(text)
+        n_tokens, chars, byte_share, entropy = only(("fertility", path, max_words), lambda: Fertility(path, max_words)).measure(text)
         script = script_of(text)
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
         good = not failed and in_band(limits.get(script, limits["other"]), n_tokens, chars, byte_share, entropy)
@@ -204,29 +204,29 @@ def _language(docs: DataFrame):
     return F.coalesce(F.col("lang").cast("string"), F.col("script")) if "lang" in docs.columns else F.col("script")
 
 
-def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None, with_text: bool = True) -> DataFrame:
+def measure_quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None, with_text: bool = True, max_words: int = 300_000) -> DataFrame:
     """`docs` (with_text: its text too) with the measures of its text column: n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words (long), chars_per_token, byte_share, token_entropy, script, base_failed and kept.
 
     A null text has no words and fails, as any text of under ten words does. Repeated rows are judged alike. The
     fences are those of `docs`, by its column lang if it has one; where a language has too few texts of a length,
-    only the bands hold. Columns of `docs` that have the name of a measure are replaced.
+    only the bands hold. max_words: words that a worker remembers, see `Fertility`. Columns of `docs` that have the name of a measure are replaced.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
     carried = [c for c in docs.columns if c not in names and (with_text or c != "text")]
     # but text and lang the carried columns have names of their own, which no inner column has
     inner = [c if c in ("text", "lang") else f"__own_{i}" for i, c in enumerate(carried)]
     docs = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(carried, inner, strict=True)), *([] if "text" in carried else ["text"]))
-    measured = _measured(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS, inner)
+    measured = _measured(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS, inner, max_words)
     judged = _fenced(materialize(measured.withColumn("language", _language(measured)), "measures"))
     return judged.select(*(F.col(a).alias(b) for a, b in zip(inner, carried, strict=True)), *names)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, max_words: int = 300_000) -> DataFrame:
     """The rows of `docs` that pass the base rules, their script's band and their language's fences, with their own
     columns. A column that has a measure's name is carried past the measures under another name."""
     safe = docs.select(*(F.col(c).alias(c if c in ("text", "lang") else f"__{i}") for i, c in enumerate(docs.columns)))
-    good = measure_quality(safe).where("kept")
+    good = measure_quality(safe, max_words=max_words).where("kept")
     return good.select(*(F.col(c if c in ("text", "lang") else f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hirelens.llm import chat, decontaminate, encoding, graph, lang_id, line_dedup, near_copies, packing, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
+from hirelens.llm import chat, decontaminate, encoding, graph, lang_id, line_dedup, near_copies, packing, pipeline, quality, queries, shared, simhash, token_blocks, toxicity, url_filter
 from tests.compare import assert_same
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -773,3 +773,16 @@ def test_what_is_searched_for_does_not_grow_with_the_items(spark, n_items):
     assert decontaminate.sketched_share(docs, items) < 0.02
     found = decontaminate.find_contaminated(docs, items).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, found)) == [(i, i) for i in range(20)]
+
+
+def test_pipeline_workers_remember_few_words(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(pipeline, "keep_good", lambda docs, max_words: held.update(quality=max_words))
+    monkeypatch.setattr(pipeline, "pack_instructions", lambda docs, path, max_words: held.update(packing=max_words))
+    pipeline.quality_rules(spark, None, SMALL)
+    pipeline.packing(spark, None, SMALL)
+    assert set(held.values()) == {pipeline.WORDS_HELD} and pipeline.WORDS_HELD < 300_000
+    words = [f"w{i}" for i in range(900)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few, many = encoding.ChunkEncoder(path, False, 50), encoding.ChunkEncoder(path, False)
+    assert list(few.encode(words)) == list(many.encode(words)) and len(few.young) + len(few.old) <= 100
