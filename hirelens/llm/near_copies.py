@@ -198,7 +198,8 @@ def near_links(docs: DataFrame, marked: DataFrame, part: int = PART, radius: int
     distinct = marked.where("code <> 0").select("code", "bands").dropDuplicates(["code"])
     placed = materialize(distinct.select("code", F.posexplode("bands").alias("band", "value")), "bands")
     lows = materialize(placed.groupBy("band", "value").agg(F.min("code").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
-    star = materialize(placed.join(bounded_broadcast(lows), ["band", "value"]).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct(), "band-links")
+    shared = materialize(placed.join(bounded_broadcast(lows), ["band", "value"]), "shared-bands")
+    star = materialize(shared.where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct(), "band-links")
     groups = materialize(components(star).select(F.col("node").alias("code"), F.col("root").alias("group")), "band-groups")
     chosen = materialize(marked.join(groups, "code").groupBy("code", "group").agg(F.min("row").alias("row"), F.any_value("print").alias("print"), F.any_value("n").alias("n")), "chosen")
     crowds = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size")).where((F.col("sets") > part) | ((F.col("size") > PART_SHINGLES) & (F.col("sets") > 2)))
@@ -212,8 +213,10 @@ def near_links(docs: DataFrame, marked: DataFrame, part: int = PART, radius: int
         return small
     inside = held.where("crowd = 1").select("code", "print", "n", "held")
     joined = materialize(_near_pairs(star.join(inside.select(F.col("code").alias("a")), "a", "left_semi"), inside, radius), "crowd-links")
-    roots = components(joined).withColumnsRenamed({"node": "code"})
-    members = placed.join(inside.select("code", "n"), "code").join(roots, "code", "left").withColumn("root", F.coalesce("root", "code"))
+    roots = materialize(components(joined).withColumnsRenamed({"node": "code"}), "crowd-roots")
+    # of the buckets only those that sets share, and of these a crowd's: most of all sets share none
+    members = shared.select("band", "value", "code").join(bounded_broadcast(inside.select("code", "n")), "code").join(bounded_broadcast(roots), "code", "left")
+    members = materialize(members.withColumn("root", F.coalesce("root", "code")), "crowd-members")
     buckets = members.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("code")).alias("same"))
     parts = F.greatest(F.ceil(F.col("sets") / F.lit(part)), F.ceil(F.col("size") / F.lit(PART_SHINGLES)))
     apart = materialize(buckets.where("low < high").dropDuplicates(["sets", "same"]).select("band", "value", parts.alias("parts")), "open-buckets")

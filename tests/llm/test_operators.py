@@ -741,6 +741,36 @@ def test_a_crowd_of_near_copies_is_joined_without_all_pairs(spark, monkeypatch):
     assert seen["band-links"].count() <= 32 * len(rows)
 
 
+@pytest.mark.parametrize("sent_out", [True, False])
+def test_a_crowd_moves_only_the_buckets_that_sets_share(spark, monkeypatch, sent_out):
+    read, seen, real = {}, {}, near_copies.materialize
+
+    def watched(df, label):
+        read[label] = df.inputFiles()
+        return seen.setdefault(label, real(df, label))
+
+    monkeypatch.setattr(near_copies, "materialize", watched)
+    if not sent_out:
+        monkeypatch.setattr(near_copies, "bounded_broadcast", lambda df: df)
+    rng, rows = np.random.default_rng(12), [" ".join(f"v{x}" for x in range(20 * i, 20 * i + 20)) for i in range(300)]
+    base = [f"u{x}" for x in range(150)]
+    for c in range(20):
+        own = list(base)
+        for at in rng.choice(150, max(1, c), replace=False):
+            own[at] = f"e{rng.integers(0, 10**6)}"
+        rows.append(" ".join(own))
+    root, links = list(range(len(rows))), slow_near(rows)
+    for _ in range(20):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs, part=3).collect()) == sorted(set(root))
+    assert seen["open-buckets"].count() > 0 and seen["bands"].count() == 32 * len(rows)
+    for label in ("open-buckets", "open-members"):  # the 300 sets that share no bucket aren't read for the crowd
+        assert not [x for x in read[label] if "/bands-" in x]
+    assert seen["crowd-members"].count() <= seen["shared-bands"].count() <= 32 * 20
+
+
 def test_quality_with_clashing_names(spark):
     names = ["__chars_per_token", "__length", "language", "__own_0", "n_words", "__token_entropy"]
     docs = shared.table(spark, SMALL, "documents").select("doc_id", "text", "lang", *(F.lit(7).alias(c) for c in names))
