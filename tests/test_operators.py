@@ -354,6 +354,15 @@ def test_first_of_equals_holds_a_bounded_number(spark):
     assert want < set(given_out) and len(given_out) < 5000
 
 
+def test_answers_are_read_from_few_files(spark, tmp_path):
+    from hirelens.operators.calls import call_once
+
+    asked = spark.range(60).select(F.col("id").cast("string").alias("call_key"))
+    for _ in range(2):  # asked, and from the ledger
+        answers, _ = call_once(asked, lambda rows: ["x"] * len(rows), f"{tmp_path}/ledger", size=2, buckets=3)
+        assert answers.count() == answers.distinct().count() == 60 and len(answers.inputFiles()) <= 3
+
+
 def test_payload_of_parts_worked_out_before(spark):
     from hirelens.operators import requirements as Q
 
